@@ -1,0 +1,281 @@
+"""Personal data: base patterns, and spans that a linear-chain conditional random field over word shapes adds.
+
+Base kinds are email, ip, card and phone, each leftmost and non-overlapping; a match that fails its test is dropped and not
+retried. The field is trained from the small labelled table below; it tags tokens of every line that holds a digit
+or an @ (no kind can do without one), decoded by Viterbi in numpy batches. Its spans of the kinds `secret` (keys, tokens, passwords)
+and `phone_local` (numbers without a country code) are added where they pass a plain test and touch no base span.
+
+Offsets are code points, ends exclusive. A null text counts as empty and has no span. Rows that share a doc_id are
+searched apart. An empty table gives no row. Extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .crf import Crf, train
+
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret", "phone_local")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+
+#: Labelled sentences: {kind:span}. Slots in angle brackets are filled by `_fill`, each sentence VARIANTS times.
+LABELLED = (
+    "token = \"{secret:<hex40>}\"", "password={secret:<hex18>}", "the key {secret:<akia>} was", "{secret:<akia>}", "api_key = \"{secret:<mixed32>}\"",
+    "secret: {secret:<mixed24>}", "and password={secret:<hex18>} thor the", "ly token = \"{secret:<hex40>}\" thshing, nd", "de {secret:<akia>} de la", "the thn of that on {secret:<akia>} and the of is", "Reann, er {secret:<akia>} Anou thin", "ung {secret:<akia>}.", "un {secret:<akia>}, qui", "von {secret:<akia>} Und", "Authorization: Bearer {secret:<mixed32>}",
+    "passwd: {secret:<mixed16>}", "client_secret={secret:<mixed32>}, and", "pwd={secret:<hex18>}", "access token {secret:<hex40>} expires", "TOKEN = \"{secret:<HEX40>}\"", "PASSWORD={secret:<HEX18>}!! THE",
+    "mail {email:<user>@<host>.com} now", "{email:<user>.<n2>@<host>.example.com}", "write to {email:<user>.<n2>@mail<n1>.example.com} and on", "the {email:<user>@<host>.org}, re", "contact: {email:<user>_<n2>@<host>.co.uk}.",
+    "from {ip:<oct>.<oct>.<oct>.<oct>} thon", "{ip:<oct>.<oct>.<oct>.<oct>}", "host {ip:<oct>.<oct>.<oct>.<oct>} port 8080", "en {ip:<oct>.<oct>.<oct>.<oct>}, un",
+    "card {card:<n16>} thnd", "{card:<n16>}", "pay {card:<n4> <n4> <n4> <n4>} by", "ouinsh. {card:<n16>} Edthnd", "visa {card:<n4>-<n4>-<n4>-<n4>}.",
+    "call {phone:+<n1> (<n3>) <n3>-<n4>} now", "{phone:+<n1> (<n3>) <n3>-<n4>}", "in {phone:+<n2> <n3> <n3> <n4>} or", "tel {phone:+<n1>-<n3>-<n3>-<n4>}.",
+    "call {phone_local:(<n3>) <n3>-<n4>} now", "phone: {phone_local:<n3>-<n3>-<n4>}", "tel. {phone_local:(<n3>) <n3>-<n4>}, or", "reach me at {phone_local:<n3>-<n3>-<n4>}.", "phone {phone_local:<n3>.<n3>.<n4>} or",
+    "Licensed under CC BY-NC 4.0.", "the GNU General Public License, version 3.", "Apache License, Version 2.0", "in 19<n2> and 20<n2> the", "20<n2>-0<n1>-<n2>", "page <n3> of <n4>", "<n1>,<n3>,<n3> people", "about <n2>.<n1> % of",
+    "chapter <n2>.", "for $<n3>.<n2> each", "<n2>:<n2>:<n2>", "isbn <n3>-<n1>-<n2>-<n4>-<n1>", "order <n4> and line <n2>", "see section <n1>.<n1>.<n1>.", "the 1st, 2nd and <n2>th", "a<n1>b and x<n2>", "v<n1>.<n2>.<n1>", "<n2>/<n2>/20<n2>",
+    "utf8 and sha256 or md5", "<n4> words in <n3> lines", "@ the end of <n4>", "a follow of @<user> here", "matrix <n2>x<n2>", "room B<n3>", "RFC <n4>", "between <n3> and <n3>-<n4>", "score <n1>-<n1>", "+ <n2> or - <n2>",
+    "commit <hex8> fixes", "uuid <hex8> is short", "covid19 or windows10 were",
+)
+VARIANTS = 6
+_CUES = frozenset("token password passwd pwd secret key api bearer authorization client access mail email call phone tel telephone fax reach contact card visa pay ip host version license page section chapter isbn order rfc commit uuid akia".split())
+
+
+def _fill(sentence: str, rng: np.random.Generator) -> str:
+    def digits(n: int) -> str:
+        return "".join(str(x) for x in rng.integers(0, 10, n))
+
+    def of(chars: str, n: int) -> str:
+        return "".join(chars[k] for k in rng.integers(0, len(chars), n))
+
+    def slot(m: re.Match) -> str:
+        name, n = m[1].rstrip("0123456789"), int(re.sub(r"\D", "", m[1]) or 0)
+        low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        if name == "n":
+            return digits(n)
+        return {"hex": lambda: of("0123456789abcdef", n), "HEX": lambda: of("0123456789ABCDEF", n), "akia": lambda: "AKIA" + of(up + "234567", 16), "mixed": lambda: of(low + up + "0123456789", n), "user": lambda: of(low, int(rng.integers(3, 9))), "host": lambda: of(low, int(rng.integers(3, 8))), "oct": lambda: str(rng.integers(1, 256))}[name]()
+
+    return re.sub(r"<(\w+)>", slot, sentence)
+
+
+def labelled_table(variants: int = VARIANTS) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts with their (start, end, kind), the same each time."""
+    rng, out = np.random.default_rng(11), []
+    for sentence in LABELLED * variants:
+        text, spans, rest = "", [], _fill(sentence, rng)
+        for part in re.split(r"(\{\w+:[^}]*\})", rest):
+            if m := re.fullmatch(r"\{(\w+):([^}]*)\}", part):
+                spans.append((len(text), len(text) + len(m[2]), m[1]))
+                text += m[2]
+            else:
+                text += part
+        out.append((text, spans))
+    return out
+
+
+def shape(token: str) -> str:
+    """Classes of characters with repeats as one, and a length class."""
+    kinds = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", re.sub(r"\d", "9", token))
+    runs = re.sub(r"(.)\1+", r"\1", kinds)
+    return (runs if len(runs) <= 4 else "*" + "".join(sorted(set(runs)))) + "/" + str(min(len(token).bit_length(), 6))
+
+
+def _token_features(token: str) -> tuple[str, ...]:
+    out = [shape(token)]
+    if token.lower() in _CUES:
+        out.append("w" + token.lower())
+    if token.isdigit():
+        out.append(f"n{min(len(token), 20)}")
+    elif any(c.isdigit() for c in token) or len(token) > 12:
+        out.append("hex" if re.fullmatch("[0-9a-fA-F]+", token) else "mix")
+        out.append(f"l{len(token) // 4}")
+        if len(token) >= 16 and token.upper() == token and not token.isdigit():
+            out += ["key", "key" + token[:4] if token[:4] in ("AKIA", "ASIA") else "key?"]
+    return tuple(out)
+
+
+class Tagger:
+    """Weights by feature; labels are O, then B and I of each kind."""
+
+    def __init__(self):
+        table = labelled_table()
+        self.names: dict[str, int] = {}
+        flat, ends, labels, sizes = [], [0], [], []
+        for text, spans in table:
+            tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
+            for found in self._features([t for *_, t in tokens]):
+                flat += [self.names.setdefault(f, len(self.names)) for f in found]
+                ends.append(len(flat))
+            labels += [next((1 + 2 * KINDS.index(k) + (s > a) for a, b, k in spans if a <= s < b), 0) for s, *_ in tokens]
+            sizes.append(len(tokens))
+        n = len(labels)
+        self.crf = train(np.array(flat), np.array(ends), np.arange(n), np.array(labels), np.array(sizes), len(self.names), 1 + 2 * len(KINDS), steps=80, rate=0.3, l2=0.05)
+        for k in range(len(KINDS)):  # an inside label follows only its own kind
+            self.crf.first[2 + 2 * k] = -1e4
+            for a in range(1 + 2 * len(KINDS)):
+                if a not in (1 + 2 * k, 2 + 2 * k):
+                    self.crf.moves[a, 2 + 2 * k] = -1e4
+
+    @staticmethod
+    def _features(tokens: list[str]) -> list[list[str]]:
+        own = [_token_features(t) for t in tokens]
+        out = []
+        for k, mine in enumerate(own):
+            found = ["bias", *mine]
+            for d in (-3, -2, -1, 1, 2, 3):
+                at = k + d
+                found += [f"{d}:{x}" for x in own[at]] if 0 <= at < len(own) else [f"{d}:edge"]
+            out.append(found)
+        return out
+
+    def tag(self, lines: list[str]) -> list[list[tuple[int, int, str]]]:
+        """Spans of each line."""
+        get = self.names.get
+        flat, ends, places, sizes = [], [0], [], []
+        for line in lines:
+            tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(line)]
+            for found in self._features([t for *_, t in tokens]):
+                flat += [x for f in found if (x := get(f)) is not None]
+                ends.append(len(flat))
+            places.append(tokens)
+            sizes.append(len(tokens))
+        sizes = np.array(sizes, np.int64)
+        labels = self.crf.viterbi(self.crf.scores(np.array(flat, np.int64), np.array(ends)), sizes).tolist() if flat else []
+        out, at = [], 0
+        for tokens in places:
+            spans: list[list] = []
+            for (start, end, _), label in zip(tokens, labels[at : at + len(tokens)], strict=True):
+                if label and label % 2:
+                    spans.append([start, end, KINDS[(label - 1) // 2]])
+                elif label and spans:
+                    spans[-1][1] = end
+            at += len(tokens)
+            out.append([tuple(x) for x in spans])
+        return out
+
+
+_TAGGER: list[Tagger] = []
+
+
+def tagger() -> Tagger:
+    """Trained once in each worker process, always to the same weights."""
+    if not _TAGGER:
+        _TAGGER.append(Tagger())
+    return _TAGGER[0]
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """By start, then kind as listed. Each pattern starts at the first place where it can, so long runs cost no more than their length."""
+    out = []
+    at, free = text.find("@"), 0
+    while at >= 0:
+        if m := _DOMAIN.match(text, at + 1):
+            start = at
+            while start > free and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < at:
+                out.append((start, m.end(), "email"))
+                free = m.end()
+        at = text.find("@", max(at + 1, free))
+    if _DIGIT.search(text):
+        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        for m in _CARD.finditer(text):
+            digits = m[0].replace(" ", "").replace("-", "")
+            if 12 <= len(digits) <= 19 and luhn(digits):
+                out.append((m.start(), m.end(), "card"))
+        if "+" in text:
+            out += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 9 <= len(_DIGIT.findall(m[0])) <= 15]
+    return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
+
+
+def _plausible(kind: str, found: str) -> bool:
+    if kind == "secret":
+        return len(found) >= 12 and found.isalnum() and bool(_DIGIT.search(found)) and any(c.isalpha() for c in found)
+    return kind == "phone_local" and len(_DIGIT.findall(found)) == 10 and not found.isdigit()
+
+
+def find(texts: list[str | None]) -> list[tuple[list, list]]:
+    """Base spans and all spans of each text."""
+    base = [base_spans(t or "") for t in texts]
+    lines, where = [], []
+    for k, text in enumerate(texts):
+        if text and ("@" in text or _DIGIT.search(text)):
+            begun = 0
+            for line in text.split("\n"):
+                if "@" in line or _DIGIT.search(line):
+                    lines.append(line)
+                    where.append((k, begun))
+                begun += len(line) + 1
+    every = [list(x) for x in base]
+    for a in range(0, len(lines), 2000):
+        for (k, begun), line, spans in zip(where[a : a + 2000], lines[a : a + 2000], tagger().tag(lines[a : a + 2000]), strict=True):
+            for start, end, kind in spans:
+                s, e = begun + start, begun + end
+                if _plausible(kind, line[start:end]) and not any(x < e and s < y for x, y, _ in base[k]):
+                    every[k].append((s, e, kind))
+    return [(b, sorted(x, key=lambda y: (y[0], KINDS.index(y[2])))) for b, x in zip(base, every, strict=True)]
+
+
+def _joined(spans: list) -> str:
+    return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, found: array of (start, finish, kind, base), where base marks spans of the base patterns."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    item = pa.struct([("start", pa.int64()), ("finish", pa.int64()), ("kind", pa.string()), ("base", pa.bool_())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[{"start": s, "finish": e, "kind": k, "base": (s, e, k) in base} for s, e, k in every] for base, every in find(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(item))], [id_col, "found"])
+
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(search, f"`{id_col}` {kind}, found array<struct<start: bigint, finish: bigint, kind: string, base: boolean>>")
+
+
+def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Counts of the base kinds, sha256 of the base spans and all spans as text, from what find_pii returns."""
+    base = F.filter("found", lambda x: x["base"])
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["finish"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in BASE]
+    return found.select(id_col, *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
+
+
+def redact(text: str | None, mark: str = "[{}]") -> str | None:
+    """The text with each span replaced by its kind."""
+    if text is None:
+        return None
+    out, at = "", 0
+    for start, end, kind in find([text])[0][1]:
+        if start >= at:
+            out += text[at:start] + mark.format(kind.upper())
+            at = end
+    return out + text[at:]
+
+
+def digest_of(text: str | None) -> tuple[int, int, int, int, str, str]:
+    """The digest of one text, for tests."""
+    base, every = find([text])[0]
+    return (*(sum(k == kind for *_, k in base) for kind in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every))
