@@ -36,6 +36,8 @@ from .components import connected_components
 BLOCK = 256
 #: Nodes of whole small components that share a task.
 GROUPED = 2000
+#: White space that doesn't end a word here.
+_OTHER_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,7 +51,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    split = pc.ascii_split_whitespace(texts)
+    if pc.any(pc.match_substring_regex(texts, _OTHER_SPACE)).as_py():
+        split = pc.split_pattern_regex(texts, "[\\x20\\x09-\\x0D]+")
+    else:
+        split = pc.utf8_split_whitespace(texts)
     flat = split.flatten()
     coded = flat.dictionary_encode()
     words = coded.dictionary.to_pylist()
