@@ -28,12 +28,11 @@ from .components import connected_components
 
 THRESHOLD = 0.9
 #: Vectors for each pivot, and pivots at most: they are all that reaches the driver.
-PER_PIVOT, MOST_PIVOTS = 400, 4096
+PER_PIVOT, MOST_PIVOTS = 8192, 4096
 #: Native or visiting vectors of a tile side.
-SIDE = 2048
+SIDE = 8192
 SEED = 20
 _SLACK = 1e-6
-_NODES = "node long, copies long, vector array<double>"
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -65,27 +64,39 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :])
 
 
+def interval(factor: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where a code's inner product must lie for the bounds of its estimate to admit the threshold.
+
+    The estimate plus its greatest error is the cosine of the difference of two angles, that of the coded vector with its code and that of
+    its partner with the code, so the bounds invert to an interval for each coded vector.
+    """
+    own, most = np.arccos(np.clip(factor, -1, 1)), np.arccos(threshold)
+    return np.cos(np.minimum(np.pi, own + most)), np.cos(np.maximum(0, own - most))
+
+
 def tile(x: np.ndarray, y: np.ndarray, turn: np.ndarray, threshold: float, within: bool, strip: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of x, row of y) with cosine >= threshold; within: y is x and each pair is found once, i < j."""
     unit_x, unit_y = (v / np.sqrt((v * v).sum(1))[:, None] for v in (x, y))
     bits, factor = codes(unit_x, turn)
-    turned = unit_y @ turn.T
+    low, high = (v.astype(np.float32)[:, None] for v in interval(factor, threshold))
+    turned = np.ascontiguousarray((unit_y @ turn.T).astype(np.float32).T)
     rows, cols = [], []
     for a in range(0, len(x), strip):
-        guess, error = estimates(bits[a : a + strip], factor[a : a + strip], turned)
-        near = guess + error >= threshold - 1e-4
+        skip = a if within else 0
+        inner = unpacked(bits[a : a + strip], x.shape[1]) @ turned[:, skip:]
+        near = inner >= low[a : a + strip] - np.float32(1e-4)
+        i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+        keep = inner[i, j] <= high[a + i, 0] + np.float32(1e-4)
+        i, j = i[keep], j[keep] + skip
         if within:
-            near &= np.arange(len(y))[None, :] > np.arange(a, min(a + strip, len(x)))[:, None]
-        i, j = np.nonzero(near)
+            i, j = i[j > i + a], j[j > i + a]
         if len(i) > near.size // 16:  # dense: all cosines of the strip at once
-            found = near & (cosine(x[a : a + strip], y) >= threshold)
-            i, j = np.nonzero(found)
+            good = cosine(x[a : a + strip], y)[i, j] >= threshold
         else:
             u, v = x[a + i], y[j]
-            exact = np.einsum("ij,ij->i", u, v) / (np.sqrt(np.einsum("ij,ij->i", u, u)) * np.sqrt(np.einsum("ij,ij->i", v, v)))
-            i, j = i[exact >= threshold], j[exact >= threshold]
-        rows.append(i + a)
-        cols.append(j)
+            good = np.einsum("ij,ij->i", u, v) / (np.sqrt(np.einsum("ij,ij->i", u, u)) * np.sqrt(np.einsum("ij,ij->i", v, v))) >= threshold
+        rows.append(i[good] + a)
+        cols.append(j[good])
     return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(cols) if cols else np.zeros(0, int)
 
 
@@ -128,9 +139,11 @@ def _cells(nodes: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
                 row = np.concatenate([np.arange(len(v)), r])
                 cell = np.concatenate([home, c])
                 native = np.concatenate([np.ones(len(v), bool), np.zeros(len(r), bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(native), *(batch.column(k).take(pa.array(row)) for k in range(3))], ["cell", "native", "node", "copies", "vector"])
+                raw = pa.array([x.tobytes() for x in v], pa.binary())
+                columns = [batch.column(0), batch.column(1), raw]
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(native), *(c.take(pa.array(row)) for c in columns)], ["cell", "native", "node", "copies", "vector"])
 
-    return nodes.mapInArrow(deal, f"cell long, native boolean, {_NODES}")
+    return nodes.mapInArrow(deal, "cell long, native boolean, node long, copies long, vector binary")
 
 
 def _comparer(dim: int, threshold: float):
@@ -149,7 +162,7 @@ def _comparer(dim: int, threshold: float):
             left, right = block[block["at"] == i_], block[block["at"] == j_]
         if not len(left) or not len(right):
             return pd.DataFrame({"node": [], "other": [], "links": []}, dtype="int64")
-        x, y = (np.stack(s["vector"].to_numpy()).astype(float) for s in (left, right))
+        x, y = (np.frombuffer(b"".join(s["vector"]), float).reshape(len(s), dim) for s in (left, right))
         i, j = tile(x, y, turn, threshold, within=not visit and i_ == j_)
         ids = np.concatenate([left["node"].to_numpy(), right["node"].to_numpy()])
         copies = np.concatenate([left["copies"].to_numpy(), right["copies"].to_numpy()])
@@ -168,7 +181,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     v = F.col(vector_col).cast("array<double>")
     good = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = table.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).withColumn("vector", F.when(good, F.transform("vector", lambda x: x + F.lit(0.0))))
-    key = F.sha2(F.to_json(F.col("vector")).cast("binary"), 256)
+    key = F.when(F.col("vector").isNotNull(), F.concat(F.hex(F.xxhash64("vector")), F.lit(":"), F.hex(F.xxhash64(F.lit(1), F.col("vector")))))
     rows = stored(rows.withColumn("key", key), "vectors")
     linked = rows.where("vector is not null")
     # equal vectors: a node is the smallest id, and a negative hash where no row has an id
