@@ -37,8 +37,8 @@ SHARE, MIN_WEIGHT = 0.004, 1.5
 #: Lines of each class that the field is trained on, and steps.
 MOST_LINES, STEPS = 3000, 40
 _EDGE = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum()) + "¡¿«»…“”‘’–—"
-#: Words whose scores a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose scores a worker remembers, of one model at a time, and rows that it scores at once.
+REMEMBERED, ROWS = 400_000, 1500
 #: Features of a document: expected number of toxic words as log(1 + x), the surest word, words as log(1 + x).
 _MODELS: dict[int, dict[str, float]] = {}
 
@@ -117,6 +117,8 @@ class Model:
         self.crf = Crf(np.zeros((1, 2)), moves, first)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
+        if self.key not in _MODELS:
+            _MODELS.clear()
         known = _MODELS.setdefault(self.key, {})
         found = list(map(known.get, words))
         if None in found:
@@ -216,8 +218,9 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 found = m.documents(batch.column(1))[0]
                 score = m.score(found)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(np.expm1(found[:, 0])), pa.array((score >= 0.5).astype(np.int32))], [id_col, "score", "n_toxic", "predicted"])
@@ -232,9 +235,10 @@ def keep_clean(docs: DataFrame, model: Model, columns: list[str], text_col: str
     at = columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                m = sent.value
+        m = sent.value
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
                 yield batch.filter(pa.array(m.score(m.documents(batch.column(at))[0]) < threshold))
 
     return rows.mapInArrow(kept, rows.schema)
