@@ -23,7 +23,7 @@ class _Reader:
         return k < len(self.t) and self.t[k].kind == "word"
 
     def slice(self, a: int, b: int) -> str:
-        return self.text[self.t[a].start : self.t[min(b, len(self.t) - 1)].end]
+        return self.text[self.t[a].start : self.t[min(b, len(self.t) - 1)].end] if a < len(self.t) else ""
 
     def line_end(self, k: int) -> int:
         """The index after the last token of a statement: at the end of its line, outside brackets."""

@@ -92,7 +92,7 @@ class _Reader:
         return self._last_line(k)
 
     def slice(self, a: int, b: int) -> str:
-        return self.text[self.t[a].start : self.t[min(b, len(self.t) - 1)].end]
+        return self.text[self.t[a].start : self.t[min(b, len(self.t) - 1)].end] if a < len(self.t) else ""
 
     def params(self, k: int) -> int:
         """The index of the opening parenthesis at or after k, past type parameters."""
@@ -180,7 +180,7 @@ class _Reader:
                 while k < stop:
                     if self.is_(k, "type") and self.word(k + 1) and not self.is_(k + 1, "as"):
                         k += 1
-                    if self.is_(k + 1, "as"):
+                    if self.is_(k + 1, "as") and self.word(k + 2):
                         add(self.t[k + 2].text)
                         k += 3
                     elif self.word(k):
@@ -188,7 +188,7 @@ class _Reader:
                         k += 1
                     else:
                         k += 1
-            elif self.is_(k, "*") and self.is_(k + 1, "as"):
+            elif self.is_(k, "*") and self.is_(k + 1, "as") and self.word(k + 2):
                 add(self.t[k + 2].text)
                 k += 3
             elif self.word(k):

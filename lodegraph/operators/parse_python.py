@@ -123,7 +123,7 @@ def _chunks(text: str) -> list[str]:
     for k, line in enumerate(lines):
         if line and not line[0].isspace() and line[0] not in ")]}#" and not re.match(r"(else|elif|except|finally)\b", line):
             starts.append(k)
-    return ["\n" * a + "\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
+    return ["\n" * a + "\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=False)]
 
 
 def parse_python(path: str, text: str) -> Parsed:
