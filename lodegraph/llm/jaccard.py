@@ -29,13 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, stored
+from .common import parts, sized_broadcast, stored
 from .components import connected_components
 
 #: Nodes of a block; a tile holds two of them.
 BLOCK = 256
 #: Nodes of whole small components that share a task.
 GROUPED = 2000
+#: Documents that a worker reads at once.
+ROWS = 2500
 #: White space that doesn't end a word here.
 _OTHER_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -125,24 +127,22 @@ def _signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     """doc, n, a, b (two hashes of the set), keys (of the first document with this set in a batch)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2500):
-                batch = whole.slice(at, 2500)
-                a, b, keys, seen = [], [], [], set()
-                sets = shingle_sets(batch.column(1), k)
-                for x in sets:
-                    if not len(x):
-                        a.append(None)
-                        b.append(None)
-                        keys.append(None)
-                        continue
-                    a.append(int(mixed(x + _M2).sum().view(np.int64)))
-                    b.append(int(mixed(x ^ _M3).sum().view(np.int64)))
-                    new = (a[-1], b[-1]) not in seen
-                    seen.add((a[-1], b[-1]))
-                    keys.append(filed_keys(x, percent) if new else None)
-                columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "a", "b", "keys"])
+        for batch in parts(batches, ROWS):
+            a, b, keys, seen = [], [], [], set()
+            sets = shingle_sets(batch.column(1), k)
+            for x in sets:
+                if not len(x):
+                    a.append(None)
+                    b.append(None)
+                    keys.append(None)
+                    continue
+                a.append(int(mixed(x + _M2).sum().view(np.int64)))
+                b.append(int(mixed(x ^ _M3).sum().view(np.int64)))
+                new = (a[-1], b[-1]) not in seen
+                seen.add((a[-1], b[-1]))
+                keys.append(filed_keys(x, percent) if new else None)
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "a", "b", "keys"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(rows, "doc long, n long, a long, b long, keys array<long>")

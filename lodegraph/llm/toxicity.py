@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, parts
 from .crf import Crf, train
 
 #: Bounds of the training sample.
@@ -218,12 +218,10 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                found = m.documents(batch.column(1))[0]
-                score = m.score(found)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(np.expm1(found[:, 0])), pa.array((score >= 0.5).astype(np.int32))], [id_col, "score", "n_toxic", "predicted"])
+        for batch in parts(batches, ROWS):
+            found = m.documents(batch.column(1))[0]
+            score = m.score(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(np.expm1(found[:, 0])), pa.array((score >= 0.5).astype(np.int32))], [id_col, "score", "n_toxic", "predicted"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scored, f"`{id_col}` {kind}, score double, n_toxic double, predicted int")
 
@@ -236,10 +234,8 @@ def keep_clean(docs: DataFrame, model: Model, columns: list[str], text_col: str
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(k, ROWS)
-                yield batch.filter(pa.array(m.score(m.documents(batch.column(at))[0]) < threshold))
+        for batch in parts(batches, ROWS):
+            yield batch.filter(pa.array(m.score(m.documents(batch.column(at))[0]) < threshold))
 
     return rows.mapInArrow(kept, rows.schema)
 
