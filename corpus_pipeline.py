@@ -1,6 +1,6 @@
 """A corpus from documents to packed sequences, in five stages. Each stage's rows are written and read again for the next.
 
-toxicity: documents that score 0.5 or more go. line_dedup: lines of five words and more on five sites and more stay in their first
+toxicity: documents that score 0.5 or more go. line_dedup: lines of five words and more on three sites and more stay in their first
 document; documents that keep no text go. near_dup: one document of each group that shares word 5-shingles at a
 similarity of 0.8 or more stays. mixing: documents are left out or repeated so that sources come near their targets.
 packing: pieces of at most 4096 tokens in as few sequences as can be.

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_SITES = 5
+MIN_SITES = 3
 MIN_WORDS = 5
 #: Binary logarithm of the buckets of a sketch: a relative standard error of about 1.6 %, far less for a few sites.
 LG_BUCKETS = 12
