@@ -102,7 +102,8 @@ def _seed(*what) -> np.random.Generator:
 
 
 def _fly(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values(["row", "size"], kind="stable").reset_index(drop=True)
+    """Large documents first, so that what stays fractional to the landing is small. The order doesn't change the probabilities."""
+    block = block.sort_values(["size", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
     rng = _seed(block["source"].iloc[0], int(block["block"].iloc[0]), int(block["level"].iloc[0]))
     block["p"] = flight(block["p"].to_numpy(), block["size"].to_numpy(float), rng)
     return block
