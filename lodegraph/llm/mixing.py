@@ -2,9 +2,9 @@
 
 A document's expected number of copies is its source's target over its source's size. The whole part is taken as it is;
 the fraction is an inclusion probability. The flight phase moves the probabilities of a block of documents along the
-null space of two constraints, the totals of tokens and of documents, until at most two of them are not 0 or 1. What is left over
-from all blocks flies again in blocks of leftovers, so only two documents of a source reach the landing phase, which takes
-the rounding nearest to the source's token total.
+null space of two constraints, the totals of tokens and of documents, until at most two of them are not 0 or 1. A few
+documents of each size class are reserved from the flight. What is left over from all blocks flies again in blocks of leftovers, so
+only two documents of a source and its last reserve, at most 66, reach the landing phase, which brings the source's words near its target.
 
 Sizes are numbers of words; a null text has size 0. A null source is a source of its own, last. Rows that share a doc_id stay
 apart. Sources without words get target 0. An empty table gives no row. Extra columns are ignored unless asked for.
@@ -26,6 +26,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3.0
 #: Documents of a block, on average.
 BLOCK = 4096
+#: Documents of each power of two of words that a block reserves, and an upper bound of what it leaves fractional.
+RESERVE, LEFT = 2, 2 + 2 * 32
 #: One row for each source reaches the driver.
 MOST_SOURCES = 1_000_000
 _TINY = 1e-9
@@ -88,29 +90,46 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def landing(p: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
-    """The rounding of the last fractional probabilities whose words come nearest to `owed`, fewer documents first in a tie."""
-    loose = [k for k, x in enumerate(p) if _TINY < x < 1 - _TINY]
-    best = min(range(1 << len(loose)), key=lambda m: (abs(sum(size[k] for j, k in enumerate(loose) if m >> j & 1) - owed), m.bit_count(), m))
+    """Fractional documents settled, the largest first, so that what is still owed stays within reach of those that follow."""
     out = np.round(p)
-    for j, k in enumerate(loose):
-        out[k] = best >> j & 1
+    loose = sorted((k for k, x in enumerate(p) if _TINY < x < 1 - _TINY), key=lambda k: (-size[k], k))
+    rest = float(sum(size[k] for k in loose))
+    for k in loose:
+        if not size[k]:
+            out[k] = float(p[k] >= 0.5)
+            continue
+        rest -= size[k]
+        # how far out of reach it would be, and how far from the middle of what is in reach
+        cost = [(max(0.0, -x, x - rest), abs(x - rest / 2)) for x in (owed, owed - size[k])]
+        out[k] = float(cost[1] < cost[0])
+        owed -= out[k] * size[k]
     return out
 
 
+def reserved(size: np.ndarray) -> np.ndarray:
+    """The first RESERVE documents of each power of two of words: they stay for the landing, which so has sizes of every kind to choose from."""
+    kind = np.where(size > 0, np.log2(np.maximum(size, 1)).astype(int), -1)
+    rank = pd.Series(kind).groupby(kind).cumcount().to_numpy() if len(kind) else kind
+    return (kind >= 0) & (rank < RESERVE)
+
+
 def _seed(*what) -> np.random.Generator:
     return np.random.default_rng(zlib.crc32(repr(what).encode()))
 
 
 def _fly(block: pd.DataFrame) -> pd.DataFrame:
-    """Large documents first, so that what stays fractional to the landing is small. The order doesn't change the probabilities."""
-    block = block.sort_values(["size", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    block = block.sort_values(["row", "size"], kind="stable").reset_index(drop=True)
     rng = _seed(block["source"].iloc[0], int(block["block"].iloc[0]), int(block["level"].iloc[0]))
-    block["p"] = flight(block["p"].to_numpy(), block["size"].to_numpy(float), rng)
+    size, p = block["size"].to_numpy(float), block["p"].to_numpy().copy()
+    free = ~reserved(size)
+    p[free] = flight(p[free], size[free], rng)
+    block["p"] = p
     return block
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """id_col, source_col, size, source_size, target, copies, taken (size * copies), and the columns in extra."""
+    block = max(block, 2 * LEFT)
     spark = docs.sparkSession
     id_kind = docs.schema[id_col].dataType.simpleString()
     row = F.xxhash64(F.col(id_col), F.col(text_col))
@@ -134,8 +153,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float
     done, left = flown.where(~fractional), flown.where(fractional)
     blocks = max((b for *_, b in plan), default=1)
     level, settled = 1, []
-    while blocks > 1:  # two leftovers a block, so half a block's worth of them at most meets in the next block
-        blocks = -(-blocks * 2 // block)
+    while blocks > 1:
+        blocks = -(-blocks * LEFT // block)
         again = left.withColumns({"block": F.pmod(F.xxhash64("row", F.lit(7 + level)), F.lit(blocks)), "level": F.lit(level)})
         again = stored(again.groupBy("source", "block").applyInPandas(_fly, schema), "mix-left")
         settled.append(again.where(~fractional))

@@ -265,14 +265,14 @@ def test_mixing_query(spark, sf_dir):
 
 def test_mixing_in_many_blocks(docs):
     rng = np.random.default_rng(1)
-    rows = [(k, "w " * int(rng.integers(1, 40)), f"s{k % 3}") for k in range(900)]
-    got = mixing.mix(docs(rows), block=16).collect()
-    assert len(got) == 900
+    rows = [(k, "w " * int(rng.integers(1, 40)), f"s{k % 3}") for k in range(3000)]
+    got = mixing.mix(docs(rows), block=140).collect()
+    assert len(got) == 3000
     by, target = Counter(), {}
     for r in got:
         by[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
-    assert all(abs(by[s] - target[s]) <= 60 for s in target)
+    assert all(abs(by[s] - target[s]) <= 2 for s in target)
 
 
 def test_mixing_odd(odd, none):
