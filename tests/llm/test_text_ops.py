@@ -8,9 +8,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import ODD_ROWS  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from odd_rows import ODD_ROWS
 
 from lodegraph.llm import chat, entries, ogg, packing, pii, records
 from lodegraph.llm.tokens import END_ID, WordCoder, default_vocabulary
