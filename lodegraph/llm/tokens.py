@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: The end-of-document id.
 END_ID = 1
 #: Control characters, marks and letters that libraries may class or lower-case differently, and the start of a special token.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", "\u200b", "\ufeff", "\u0130", "\u03a3", "<|")
+_ODD = r"[\x{1c}-\x{1f}\x{85}\x{180e}\x{200b}\x{feff}\x{130}\x{3a3}]|<\|"
 _LATIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _MARKS = ".,;:!?|"
 _CODERS: dict[str, WordCoder] = {}
@@ -64,8 +64,11 @@ class WordCoder:
             for k in range(0, len(part), 2000):
                 some = part[k : k + 2000]
                 found = encode(" ".join(some), add_special_tokens=False)
-                starts = np.cumsum([0, *(len(x) + 1 for x in some)])
-                ends = (2 * np.searchsorted(np.array(found.offsets).reshape(-1, 2)[:, 0], starts)).tolist()
+                if at is runs:  # one word each
+                    ends = np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))
+                else:
+                    ends = np.searchsorted(np.array(found.offsets).reshape(-1, 2)[:, 0], np.cumsum([0, *(len(x) + 1 for x in some)]))
+                ends = (2 * ends).tolist()
                 raw = np.array(found.ids, "<u2").tobytes()
                 at.update(zip(some, map(raw.__getitem__, map(slice, ends, ends[1:])), strict=True))
         runs[""] = b""
@@ -77,9 +80,7 @@ class WordCoder:
         Arrow splits the texts and finds the distinct pieces of the whole batch; only those go through Python.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.zeros(len(texts), bool)
-        for mark in _ODD:
-            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         if odd.any():
             plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
             ids, at = self.flat(plain)
