@@ -56,3 +56,15 @@ RULES = (
     Rule("git_safety", r"""["']\/home\/\w+\/""", "INFO", "Hardcoded Unix home path", "Use Path.home() or environment variables instead of absolute home paths"),
 )
 DETECTORS = ("secrets", "injection", "crypto", "env_vars", "dependencies", "git_safety")
+
+
+def load_rules(text: str, fix: str = "") -> tuple[Rule, ...]:
+    """Rules of a JSON file: {"rules": [{detector, severity, pattern, description, and perhaps fix_suggestion and cwe}]}."""
+    import json
+
+    return tuple(Rule(r["detector"], r["pattern"], r["severity"], r["description"], r.get("fix_suggestion", fix), r.get("cwe")) for r in json.loads(text)["rules"])
+
+
+def as_table(spark, rules: tuple[Rule, ...] = RULES):
+    """The rules as rows, numbered as findings number them."""
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], "rule int, detector string, pattern string, severity string, description string, fix_suggestion string, cwe string")
