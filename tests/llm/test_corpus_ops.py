@@ -308,6 +308,13 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert sum(r["length"] for r in kept["packing"][1].collect()) >= len(after)
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, sf_dir, odd, none, stage):
+    assert stage(spark, none, sf_dir).count() == 0
+    left = stage(spark, odd, sf_dir).collect()
+    assert left and {r["doc_id"] for r in left} <= {1, 2, 3, 4, 5, 6, 7, None}
+
+
 def test_guard_and_names():
     import __spark_entry__ as e
 
