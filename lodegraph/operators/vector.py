@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .graph import add
 
+#: Queries that meet all rows at once.
+QUERY_BLOCK = 1000
+
 
 def upsert(table: DataFrame, rows: DataFrame) -> DataFrame:
     return add(table, rows)
@@ -29,13 +32,19 @@ def search(table: DataFrame, vector: list[float], top_k: int = 10, id_col: str =
 
 
 def search_many(table: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """query, id, distance, rank for a stated set of queries (query, vector), which is broadcast in one block, so it must be small."""
-    q = queries.select("query", F.col("vector").alias("_q"))
-    pairs = table.select("id", "vector").join(F.broadcast(q))
-    norm = F.sqrt(_dot(F.col("vector"), F.col("vector"))) * F.sqrt(_dot(F.col("_q"), F.col("_q")))
-    scored = pairs.select("query", "id", F.when(norm > 0, 1 - _dot(F.col("vector"), F.col("_q")) / norm).otherwise(1.0).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    """query, id, distance, rank for a stated set of queries (query, vector), in blocks of QUERY_BLOCK that are broadcast one at a time."""
+    marked = queries.select("query", F.col("vector").alias("_q"))
+    blocks = max(1, -(-marked.count() // QUERY_BLOCK))
+    out = None
+    for k in range(blocks):
+        block = marked if blocks == 1 else marked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
+        pairs = table.select("id", "vector").join(F.broadcast(block))
+        norm = F.sqrt(_dot(F.col("vector"), F.col("vector"))) * F.sqrt(_dot(F.col("_q"), F.col("_q")))
+        scored = pairs.select("query", "id", F.when(norm > 0, 1 - _dot(F.col("vector"), F.col("_q")) / norm).otherwise(1.0).alias("distance"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+        found = scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def encode(texts: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 256) -> DataFrame:
