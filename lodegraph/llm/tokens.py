@@ -27,7 +27,7 @@ _CODERS: dict[str, WordCoder] = {}
 class WordCoder:
     """Ids as little-endian unsigned 16-bit integers. most: pieces remembered at once (about 200 bytes each)."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
