@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +59,33 @@ def crc_bucket(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % 5
 
 
+_MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def only_memo(name: str, clear: Callable[[], None]) -> None:
+    """A worker serves one operator after another: the memos of the others are cleared when one begins."""
+    if name not in _MEMOS:
+        for other in list(_MEMOS):
+            _MEMOS.pop(other)()
+        _MEMOS[name] = clear
+        release()
+
+
+def release() -> None:
+    """Hand freed memory back to the system: Arrow's and the allocator's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: the memory stays with the process
+        return
+
+
 def parts(batches: Iterator, most: int) -> Iterator:
     """Arrow batches of at most so many rows. Each is a copy: text functions of Arrow misread arrays that share another's bytes from an offset."""
     import numpy as np
@@ -67,6 +94,7 @@ def parts(batches: Iterator, most: int) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, most):
             yield batch.take(pa.array(np.arange(at, min(at + most, batch.num_rows))))
+    release()
 
 
 def words_of(text: str | None) -> list[str]:

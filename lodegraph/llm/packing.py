@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 from .tokens import END_ID, coder
 
 CAPACITY = 4096
@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
                 out.append(pa.array(raw, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
+        release()
 
     return rows.mapInArrow(cut, _PIECES + (", ids array<int>" if keep_ids else ""))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Files, fresh_dir
+from .common import Files, fresh_dir, release
 from .tokens import END_ID, coder
 
 MASK_DELTA = 0xA282EAD8
@@ -159,6 +159,7 @@ def write_records(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
             return
         files.write(f"{number}.rec", (x for part in ([first], stream) for x in part))
         files.write(f"{number}.idx", (x.tobytes() for x in index))
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([counts[0]], pa.int64()), pa.array([counts[1]], pa.int64())], ["shard", "n_docs", "n_ids"])
 
     parts = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import only_memo
+
 #: The end-of-document id.
 END_ID = 1
 #: Control characters, marks and letters that libraries may class or lower-case differently, and the start of a special token.
@@ -114,6 +116,7 @@ class WordCoder:
 
 def coder(path: str) -> WordCoder:
     """One for each worker process and vocabulary."""
+    only_memo("tokens", _CODERS.clear)
     if path not in _CODERS:
         _CODERS[path] = WordCoder(path)
     return _CODERS[path]

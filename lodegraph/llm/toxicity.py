@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, parts
+from .common import crc_bucket, only_memo, parts, release
 from .crf import Crf, train
 
 #: Bounds of the training sample.
@@ -38,7 +38,7 @@ SHARE, MIN_WEIGHT = 0.004, 1.5
 MOST_LINES, STEPS = 3000, 40
 _EDGE = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum()) + "¡¿«»…“”‘’–—"
 #: Words whose scores a worker remembers, of one model at a time, and rows that it scores at once.
-REMEMBERED, ROWS = 400_000, 1500
+REMEMBERED, ROWS = 300_000, 1500
 #: Features of a document: expected number of toxic words as log(1 + x), the surest word, words as log(1 + x).
 _MODELS: dict[int, dict[str, float]] = {}
 
@@ -117,6 +117,7 @@ class Model:
         self.crf = Crf(np.zeros((1, 2)), moves, first)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
+        only_memo("toxicity", _MODELS.clear)
         if self.key not in _MODELS:
             _MODELS.clear()
         known = _MODELS.setdefault(self.key, {})
@@ -191,6 +192,8 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     model.shift = x.mean(0).tolist()
     y = np.arange(len(x)) < len(toxic)
     model.logistic = _logistic(x - model.shift, y.astype(float))
+    _MODELS.clear()
+    release()
     return model
 
 
