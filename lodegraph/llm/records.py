@@ -6,7 +6,7 @@ of the payload (4). A payload is the ids of one document, unsigned little-endian
 visit records in any order. A checksum is masked by rotating it 15 bits to the right and adding 0xa282ead8.
 
 Nulls: a null text counts as empty and a null doc_id comes first (its index entry holds the least 64-bit number). Rows that share a doc_id
-stay apart, ordered by text. An empty table makes no file and no row. Other columns are ignored.
+stay apart, ordered by a hash of the text. An empty table makes no file and no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,7 +162,9 @@ def write_records(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         release()
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([counts[0]], pa.int64()), pa.array([counts[1]], pa.int64())], ["shard", "n_docs", "n_ids"])
 
-    parts = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash lets a range end between rows of one doc_id
+    keyed = rows.withColumn("_hash", F.xxhash64("text"))
+    parts = keyed.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
     done = parts.mapInArrow(shard, "shard long, n_docs long, n_ids long").collect()
     return at, sorted(tuple(x) for x in done)
 
