@@ -9,7 +9,6 @@ that libraries class differently are encoded whole.
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +20,42 @@ from .common import only_memo
 END_ID = 1
 #: Control characters, marks and letters that libraries may class or lower-case differently, and the start of a special token.
 _ODD = r"[\x{1c}-\x{1f}\x{85}\x{180e}\x{200b}\x{feff}\x{130}\x{3a3}]|<\|"
-_LATIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-_MARKS = ".,;:!?|"
+#: A run of Latin letters, and marks after it.
+_PLAIN = r"^(?P<word>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<mark>[.,;:!?|]*)$"
 _CODERS: dict[str, WordCoder] = {}
 
 
+def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids between consecutive ends, as bytes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((2 * ends).astype("<i8").tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
+
+
+class _Memo:
+    """Ids by text, in two Arrow arrays."""
+
+    def __init__(self):
+        self.keys, self.ids = pa.array([""], pa.large_string()), pa.array([b""], pa.large_binary())
+
+    def find(self, texts: pa.Array) -> pa.Array:
+        """Null where a text isn't known."""
+        return self.ids.take(pc.index_in(texts, value_set=self.keys))
+
+    def add(self, texts: pa.Array, ids: pa.Array) -> None:
+        self.keys, self.ids = pa.concat_arrays([self.keys, texts]), pa.concat_arrays([self.ids, ids])
+
+
+def _merged(parts: list[tuple[np.ndarray, pa.Array]]) -> pa.Array:
+    """One array from (places, values) that together cover all places."""
+    at = np.concatenate([p for p, _ in parts])
+    order = np.empty(len(at), np.int64)
+    order[at] = np.arange(len(at))
+    return pa.concat_arrays([v for _, v in parts]).take(pa.array(order))
+
+
 class WordCoder:
-    """Ids as little-endian unsigned 16-bit integers. most: pieces remembered at once (about 200 bytes each)."""
+    """Ids as little-endian unsigned 16-bit integers. most: pieces remembered at once (about 40 bytes each)."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -41,40 +67,41 @@ class WordCoder:
         self.split = Tokenizer(self.tokenizer.model)
         self.split.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.most = most
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.pieces, self.runs = _Memo(), _Memo()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        runs, plain, odd, unknown = self.runs, [], [], {}
-        for piece in new:
-            core = piece.rstrip(_MARKS)
-            if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
-                low, mark = core.lower(), piece[len(core) :]
-                plain.append((piece, low, mark))
-                if low not in runs:
-                    unknown[low] = None
-                if mark and mark not in runs:
-                    unknown[mark] = None
-            elif piece.isascii():
-                odd.append(piece)
+    def _encoded(self, texts: pa.Array, words: bool) -> pa.Array:
+        """Of texts without white space. words: each is one word to the model."""
+        out = [pa.array([], pa.large_binary())]
+        for k in range(0, len(texts), 4000):
+            some = texts.slice(k, 4000).to_pylist()
+            found = (self.split if words else self.tokenizer).encode(" ".join(some), add_special_tokens=False)
+            if words:
+                ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))
             else:
-                self.pieces[piece] = self.whole(piece)
-        for part, encode, at in ((list(unknown), self.split.encode, runs), (odd, self.tokenizer.encode, self.pieces)):
-            for k in range(0, len(part), 2000):
-                some = part[k : k + 2000]
-                found = encode(" ".join(some), add_special_tokens=False)
-                if at is runs:  # one word each
-                    ends = np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))
-                else:
-                    ends = np.searchsorted(np.array(found.offsets).reshape(-1, 2)[:, 0], np.cumsum([0, *(len(x) + 1 for x in some)]))
-                ends = (2 * ends).tolist()
-                raw = np.array(found.ids, "<u2").tobytes()
-                at.update(zip(some, map(raw.__getitem__, map(slice, ends, ends[1:])), strict=True))
-        runs[""] = b""
-        self.pieces.update([(piece, runs[low] + runs[mark]) for piece, low, mark in plain])
+                ends = np.searchsorted(np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0], np.cumsum([0, *(len(x) + 1 for x in some)]))
+            out.append(_binary(np.array(found.ids, "<u2"), ends))
+        return pa.concat_arrays(out)
+
+    def _runs(self, texts: pa.Array) -> pa.Array:
+        known = self.runs.find(texts)
+        if known.null_count:
+            new = texts.filter(pc.is_null(known)).unique()
+            self.runs.add(new, self._encoded(new, True))
+            known = self.runs.find(texts)
+        return known
+
+    def _learn(self, new: pa.Array) -> pa.Array:
+        found = pc.extract_regex(new, _PLAIN)
+        plain = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        odd = pc.string_is_ascii(new).to_numpy(zero_copy_only=False) & ~plain
+        at = [np.flatnonzero(x) for x in (plain, odd, ~plain & ~odd)]
+        word, mark = (found.filter(pc.is_valid(found)).field(k) for k in (0, 1))
+        ids = pc.binary_join_element_wise(self._runs(pc.utf8_lower(word)), self._runs(mark), pa.scalar(b"", pa.large_binary()))
+        rest = pa.array([self.whole(x) for x in new.take(pa.array(at[2])).to_pylist()], pa.large_binary())
+        return _merged([(at[0], ids), (at[1], self._encoded(new.take(pa.array(at[1])), False)), (at[2], rest)])
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin and the last one's end; null counts as empty.
@@ -92,17 +119,17 @@ class WordCoder:
         words = split.flatten()
         # an empty text splits into one empty piece, which has no ids
         coded = words.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        known = self.pieces
-        found = list(map(known.get, pieces))
-        if None in found:
-            if len(known) > self.most:
-                known.clear()
-                self.runs.clear()
-                found = [None] * len(pieces)
-            self._learn([w for w, x in zip(pieces, found, strict=True) if x is None])
-            found = [known[w] if x is None else x for w, x in zip(pieces, found, strict=True)]
-        parts = pa.array(found, pa.large_binary()).take(coded.indices)
+        pieces = coded.dictionary
+        if len(self.pieces.keys) > self.most:
+            self.pieces, self.runs = _Memo(), _Memo()
+        found = self.pieces.find(pieces)
+        if found.null_count:
+            missing = pc.is_null(found).to_numpy(zero_copy_only=False)
+            new = pieces.filter(pa.array(missing))
+            ids = self._learn(new)
+            self.pieces.add(new, ids)
+            found = _merged([(np.flatnonzero(~missing), found.filter(pa.array(~missing))), (np.flatnonzero(missing), ids)])
+        parts = found.take(coded.indices)
         offsets = np.frombuffer(parts.buffers()[1], "<i8")[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, "<i8")
         ids = np.frombuffer(parts.buffers()[2] or b"", "<u2")[: offsets[-1] // 2]
         lists = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
