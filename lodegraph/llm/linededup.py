@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 MIN_SITES = 3
 MIN_WORDS = 5
 #: Binary logarithm of the buckets of a sketch: a relative standard error of about 1.6 %, far less for a few sites.
@@ -57,7 +59,8 @@ def remove_shared_lines(
     docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", extra: tuple[str, ...] = ()
 ) -> DataFrame:
     """id_col, text_col without its shared lines, n_lines, n_removed, and the columns in extra as they were."""
-    found = occurrences(docs, min_words, id_col, site_col, text_col)
+    # written once: a few bytes for each line, read three times
+    found = stored(occurrences(docs, min_words, id_col, site_col, text_col), "lines")
     shared = shared_lines(found, min_sites)
     gone = found.join(shared, ["a", "b"]).where(~F.col("doc").eqNullSafe(F.col("first")))
     by_doc = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
