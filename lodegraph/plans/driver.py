@@ -26,7 +26,7 @@ PROBES = (
     "x = eval(y)", "exec (code)", "os.system('ls')", "subprocess.run(cmd, shell=True)", 'cur.execute(f"select")', "cur.execute(q.format(x))", "cur.execute('select ' + x)",
     "hashlib.md5(b)", "hashlib.sha1(b)", "random.choice(xs)", "from Crypto.Cipher import DES", "use RC4 here", "AES.MODE_ECB", "print(os.environ)", "logging.info(os.environ)", "return os.environ['X']",
     "json.dumps(dict(os.environ))", "response.body = os.environ", "import pickle", "yaml.load(f)", "import marshal", "import shelve", "__import__(name)", "except:", "  except Exception:", "except Exception as e:",
-    "except ValueError: pass", "pdb.set_trace()", "breakpoint()", "p = \"C:\\\\\\\\Users\\\\\\\\me\"", "p = '/home/me/x'", "yaml.load(f, Loader=yaml.SafeLoader)", "clean = 1",
+    "except ValueError: pass", "pdb.set_trace()", "breakpoint()", "p = \"C:\\\\Users\\\\me\"", "p = '/home/me/x'", "yaml.load(f, Loader=yaml.SafeLoader)", "clean = 1",
 )
 
 
