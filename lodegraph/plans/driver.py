@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +32,9 @@ PROBES = (
 )
 
 
-def impact_severity(spark: SparkSession, sf: str) -> DataFrame:
+def impact_severity(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
     """Flagship: for every region, nation and customer, what depends on it directly and in the end, and how severe a change is."""
-    nodes, edges = b.star_nodes(spark, sf), b.star_edges(spark, sf, items=False)
+    nodes, edges = b.star_nodes(spark, sf), b.star_edges(spark, sf, items=items)
     seeds = nodes.where(F.col("kind").isin("region", "nation", "customer")).select("id", (F.col("kind") != "customer").alias("is_public"))
     found = queries.impact_counts(nodes, edges, seeds, kind=None)
     return found.select(F.split("id", ":")[0].alias("kind"), F.split("id", ":")[1].cast("bigint").alias("key"), _BIG("direct").alias("direct"), _BIG("surface").alias("surface"), "severity")
@@ -57,13 +59,13 @@ def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.unionByName(ekinds)
 
 
-def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+def index_stats(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
     """The statistics operator over parts as symbols and brands as files."""
     files = b.document_files(spark, sf).select(F.col("file_path").alias("id"), "language", F.lit(0.0).alias("indexed_at"))
     p = b.read(spark, sf, "part")
     kind = F.element_at(F.array(*(F.lit(x) for x in ("function", "class", "variable", "import", "type"))), (F.pmod("p_partkey", F.lit(5)) + 1).cast("int"))
     symbols = p.select(F.col("p_brand").alias("file_id"), kind.alias("kind"))
-    edges = b.star_edges(spark, sf, items=False)
+    edges = b.star_edges(spark, sf, items=items)
     got = queries.stats(files, symbols, edges)
     ints = ("file_count", "function_count", "class_count", "variable_count", "import_count", "edge_count")
     return got.select(*(_BIG(c).alias(c) for c in ints), F.array_join("languages", ",").alias("languages"), (F.col("coverage_percent") > 0).alias("covered"))
@@ -82,9 +84,9 @@ def edges_from_kind(spark: SparkSession, sf: str) -> DataFrame:
     return graph.edges_of(b.star_edges(spark, sf), ids, "from_id", "uses").select("kind", "from_id", "to_id")
 
 
-def neighbors_k2(spark: SparkSession, sf: str) -> DataFrame:
+def neighbors_k2(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
     seeds = spark.createDataFrame([("nation:0",), ("nation:7",)], "id string")
-    return graph.neighbors(b.star_edges(spark, sf, items=False), seeds, 2).select("source", "id")
+    return graph.neighbors(b.star_edges(spark, sf, items=items), seeds, 2).select("source", "id")
 
 
 def dependents_closure(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,9 +94,9 @@ def dependents_closure(spark: SparkSession, sf: str) -> DataFrame:
     return graph.reach(b.star_edges(spark, sf), seeds).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max(_BIG("hops")).alias("hops"), F.min("id").alias("least"), F.max("id").alias("most"))
 
 
-def dependencies_closure(spark: SparkSession, sf: str) -> DataFrame:
+def dependencies_closure(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
     seeds = b.star_nodes(spark, sf).where("kind = 'order'").select("id")
-    return graph.reach(b.star_edges(spark, sf, items=False), seeds, "dependencies").select("source", "id")
+    return graph.reach(b.star_edges(spark, sf, items=items), seeds, "dependencies").select("source", "id")
 
 
 def dependents_cycle(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,8 +118,8 @@ def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
     return graph.node_count(b.star_nodes(spark, sf).where("kind <> 'part'"), edges)
 
 
-def export_json(spark: SparkSession, sf: str) -> DataFrame:
-    edges = b.star_edges(spark, sf, items=False).withColumns({"id": F.concat("from_id", F.lit(">"), "to_id"), "weight": F.lit(1.0)})
+def export_json(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
+    edges = b.star_edges(spark, sf, items=items).withColumns({"id": F.concat("from_id", F.lit(">"), "to_id"), "weight": F.lit(1.0)})
     got = graph.json_rows(b.star_nodes(spark, sf).where("kind <> 'nation'"), edges)
     one = lambda p: F.get_json_object("json", p)
     return got.select("part", F.coalesce(one("$.id"), F.lit("")).alias("id"), one("$.kind").alias("kind"), one("$.name").alias("name"), one("$.source").alias("source"), one("$.target").alias("target"))
@@ -346,6 +348,9 @@ QUERIES = {
     "scan_findings": scan_findings, "scan_status": scan_status, "scan_diff": scan_diff, "secrets_only": secrets_only, "incremental_diff": incremental_diff, "session_context": session_context, "undo_candidates": undo_candidates_q,
     "debounce": debounce, "requirements_cve": requirements_cve, "vector_topk": vector_topk, "link_refs": link_refs, "unresolved_semi": unresolved_semi, "parsed_code": parsed_code,
 }
+#: The same over the whole star graph, the edges from orders to parts and suppliers among them.
+WHOLE = (impact_severity, index_stats, neighbors_k2, dependencies_closure, export_json)
+QUERIES |= {f"{f.__name__}_whole": partial(f, items=True) for f in WHOLE}
 
 _STAR = f"WITH {b.STAR_NODES_SQL}, {b.STAR_EDGES_SQL}"
 _SMALL = f"WITH {b.STAR_NODES_SQL}, {b.STAR_SMALL_SQL}"
@@ -427,3 +432,4 @@ ORACLE_SQL = {
     "link_refs": """WITH r AS (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS ref_name FROM pages) SELECT ref_name, count(*) AS n, ref_name IN (SELECT url FROM pages) AS known FROM r GROUP BY ref_name""",
     "unresolved_semi": "SELECT 'file:' || s_nationkey AS file_id, count(*) AS n FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem) GROUP BY s_nationkey",
 }
+ORACLE_SQL |= {f"{f.__name__}_whole": ORACLE_SQL[f.__name__].replace(b.STAR_SMALL_SQL, b.STAR_EDGES_SQL) for f in WHOLE}
