@@ -3,7 +3,7 @@
 toxicity: documents that score 0.5 or more go. line_dedup: lines of five words and more on three sites and more stay in their first
 document; documents that keep no text go. near_dup: one document of each group that shares word 5-shingles at a
 similarity of 0.8 or more stays. mixing: documents are left out or repeated so that sources come near their targets.
-packing: pieces of at most 4096 tokens in as few sequences as can be.
+packing: pieces of at most 4096 tokens, with their ids, in as few sequences as can be.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return packing.pack_documents(docs, default_vocabulary())
+    return packing.pack_documents(docs, default_vocabulary(), keep_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dup", near_dup), ("mixing", mix), ("packing", pack)]

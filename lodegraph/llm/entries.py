@@ -36,7 +36,7 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), default_vocabulary())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), default_vocabulary(), keep_ids=True)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

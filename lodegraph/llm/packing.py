@@ -18,18 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import parts, release, stored
 from .tokens import END_ID, coder
 
 CAPACITY = 4096
 OPEN_BINS = 32_768
 #: Pieces of a packing task, on average.
 PIECES_PER_TASK = 100_000
+#: Pieces with ids that a task holds as arrays at a time.
+ROWS = 1000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """A row for each piece of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
+    """A row for each piece of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves as little-endian 16-bit numbers."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,9 +40,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
                 continue
             ids, at = coder(vocabulary).flat(batch.column(1))
             sizes = np.diff(at) + 1
-            parts = -(-sizes // capacity)
-            doc = np.repeat(np.arange(len(sizes)), parts)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+            n_parts = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), n_parts)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
             start = piece * capacity
             length = np.minimum(capacity, sizes[doc] - start)
             crc, raw = [], []
@@ -50,16 +52,16 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
                     x = np.append(x, np.uint16(END_ID))
                 crc.append(zlib.crc32(x.astype("<u4").tobytes()))
                 if keep_ids:
-                    raw.append(x.astype(np.int32))
+                    raw.append(x.astype("<u2").tobytes())
             out = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
-                out.append(pa.array(raw, pa.list_(pa.int32())))
+                out.append(pa.array(raw, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
         release()
 
-    return rows.mapInArrow(cut, _PIECES + (", ids array<int>" if keep_ids else ""))
+    return rows.mapInArrow(cut, _PIECES + (", ids binary" if keep_ids else ""))
 
 
 class BestFit:
@@ -98,20 +100,29 @@ class BestFit:
         return number, self.capacity - free
 
 
+def _unpacked(ids: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Ids of 16 bits as lists of numbers, and the crc32 of each row's ids as little-endian 32-bit numbers."""
+    rows = [np.frombuffer(x, "<u2") for x in ids.to_pylist()]
+    at, flat = np.cumsum([0, *map(len, rows)]), np.concatenate(rows).astype("<i4")
+    crc = [zlib.crc32(flat[a:b].data) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)), pa.array(crc, pa.int64())
+
+
 def pack(cut: DataFrame, n_pieces: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Adds sequence_id and offset to pieces. n_pieces: their number, which sets the number of tasks.
 
     Pieces are dealt by a hash of doc_id and piece, and a task takes the longest of each buffer first, so reruns agree.
+    If the pieces hold their ids, those become an array and ids_crc32 is taken again from the ids as they are packed.
     """
     tasks = max(1, -(-n_pieces // PIECES_PER_TASK))
     names = [f.name for f in cut.schema]
     key = F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32"), F.lit(tasks)).cast("int")
     dealt = cut.withColumn("_task", key).repartition(tasks, "_task").sortWithinPartitions("_task", F.desc("length"), "doc_id", "piece", "ids_crc32")
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema), "sequence_id long", "offset long"])
+    schema = ", ".join([*(f"{f.name} {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in cut.schema), "sequence_id long", "offset long"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, bins = None, None
-        for batch in batches:
+        for batch in parts(batches, ROWS) if "ids" in names else batches:
             numbers, offsets = [], []
             for t, n in zip(batch.column("_task").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 if t != task:
@@ -119,7 +130,10 @@ def pack(cut: DataFrame, n_pieces: int, capacity: int = CAPACITY, open_bins: int
                 number, offset = bins.place(n)
                 numbers.append((t << 32) + number)
                 offsets.append(offset)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
+            held = {x: batch.column(x) for x in names}
+            if "ids" in held:
+                held["ids"], held["ids_crc32"] = _unpacked(held["ids"])
+            yield pa.RecordBatch.from_arrays([*held.values(), pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
 
     return dealt.mapInArrow(fit, schema)
 

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from odd_rows import ODD_ROWS
 
+import corpus_pipeline
 from lodegraph.llm import chat, entries, ogg, packing, pii, records
 from lodegraph.llm.tokens import END_ID, WordCoder, default_vocabulary
 
@@ -204,6 +205,24 @@ def test_packing_query(spark, sf_dir, coder):
         assert r["ids_crc32"] == zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def test_packing_returns_every_id(spark, sf_dir, coder):
+    texts = dict(documents(spark, sf_dir))
+    whole = {i: np.append(np.frombuffer(coder.whole(t), "<u2"), END_ID).tolist() for i, t in texts.items()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for rows in (entries.op6_packing(spark, sf_dir), corpus_pipeline.pack(spark, docs, sf_dir)):
+        held = {}
+        for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["start"])):
+            held.setdefault(r["doc_id"], []).extend(r["ids"])
+            assert len(r["ids"]) == r["length"] and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        assert held == whole
+
+
+def test_packing_takes_the_crc_from_packed_ids(spark):
+    cut = spark.createDataFrame([(1, 0, 0, 2, 0, bytearray(b"\5\0\6\0"))], "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    row = packing.pack(cut, 1).first()
+    assert row["ids"] == [5, 6] and row["ids_crc32"] == zlib.crc32(np.array([5, 6], "<u4").tobytes())
+
+
 def test_packing_odd(odd, none):
     rows = packing.pack_documents(odd, VOCABULARY, keep_ids=True)
     assert rows.where("doc_id = 1").first()["length"] == 1
