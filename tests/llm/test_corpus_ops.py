@@ -81,6 +81,12 @@ def test_lines_empty(none):
     assert linededup.remove_shared_lines(none).count() == 0
 
 
+def test_short_lines_and_two_sites_if_asked_for(docs):
+    rows = [(k, f"All rights reserved.\nonly {k}\n \n{'long ' * 60}{k // 2}", f"s{k}") for k in range(4)]
+    got = sorted((tuple(r) for r in linededup.remove_shared_lines(docs(rows), min_sites=2, min_words=1).collect()), key=str)
+    assert got == lines_by_hand(rows, 2, 1) and [r[3] for r in got] == [0, 2, 1, 2]
+
+
 def vectors_by_hand(rows, threshold):
     good = [(i, np.array(v, float)) for i, v in rows if v is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = [(a, b) for k, (a, x) in enumerate(good) for b, y in good[k + 1 :] if len(x) == len(y) and x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= threshold]
