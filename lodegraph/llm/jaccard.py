@@ -282,8 +282,24 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_start").alias("component_id"))
 
 
+#: Rows with a null doc_id get nodes from here up, by a hash of their text.
+_NULL_IDS = 1 << 62
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows with an empty set or a null doc_id stay."""
-    found = similarity_components(docs, k, percent, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of docs whose doc_id is the smallest of its component, equal rows (by doc_id and text) once.
+
+    A null doc_id counts as a node of its own for each text, above all ids, so it goes if it is like a document with an id.
+    Rows with an empty set stay, but for repeats of a doc_id and text.
+    """
+    word = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = F.lit(_NULL_IDS) + F.pmod(F.xxhash64(text_col), F.lit(_NULL_IDS))
+    marked = docs.withColumn("_node", F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("long")).when(word, own))
+    found = similarity_components(marked.select("_node", text_col), k, percent, "_node", text_col)
+    gone = found.where(F.col("_node") != F.col("component_id")).select(F.col("_node").alias("_gone")).distinct()
+    left = marked.join(gone, F.col("_node") == F.col("_gone"), "left_anti")
+    # only repeats are sorted out by their text; nulls among keys of repeats can't arise
+    repeats = left.where(F.col("_node").isNotNull()).groupBy("_node", F.xxhash64(text_col).alias("_hash")).count().where("count > 1").select(F.col("_node").alias("_n"), F.col("_hash").alias("_h"))
+    same = (F.col("_node") == F.col("_n")) & (F.xxhash64(text_col) == F.col("_h"))
+    once = left.join(repeats, same, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(repeats, same, "left_anti").unionByName(once).drop("_node")

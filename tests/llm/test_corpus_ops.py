@@ -236,6 +236,13 @@ def test_jaccard_empty(none):
     assert jaccard.similarity_components(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
+def test_keep_one_takes_repeated_rows_and_null_ids(docs):
+    a, b = "one two three four five six seven", "other words that no one else has here"
+    rows = [(3, a, "x"), (3, a, "y"), (3, "a second text under the id", "x"), (9, a, "x"), (None, a, "x"), (None, b, "x"), (None, b, "y"), (None, "", "x"), (None, None, "x"), (7, "", "x"), (7, "", "x")]
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs(rows)).collect()), key=str)
+    assert got == sorted([(3, a), (3, "a second text under the id"), (None, b), (None, ""), (None, None), (7, "")], key=str)
+
+
 def test_targets():
     assert mixing.targets([("b", 100), ("a", 100), (None, 100)]) == {"a": 300 * 5 / 8, "b": 300 * 2 / 8, None: 300 / 8}
     got = mixing.targets([("a", 10), ("b", 500), ("c", 90)])
