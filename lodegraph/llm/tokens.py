@@ -53,14 +53,17 @@ def _merged(parts: list[tuple[np.ndarray, pa.Array]]) -> pa.Array:
 
 
 class WordCoder:
-    """Ids as little-endian unsigned 16-bit integers. most: pieces remembered at once (about 40 bytes each)."""
+    """Ids as little-endian unsigned 16-bit integers, as the library gives them by default: the string of a special token in a text gives that token's id.
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    most: pieces remembered at once (about 40 bytes each). plain_specials: such strings are ordinary text instead.
+    """
+
+    def __init__(self, path: str, most: int = 1_500_000, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         #: The same model for runs that are lower case, composed and split already.
