@@ -3,7 +3,9 @@
 `encode` stores a payload as a physical stream of two multiplexed logical streams: 8-bit mono samples at 8000 a second
 (a header packet, then packets of up to 4096 samples; the granule position of a page is the number of samples up to its
 last finished packet) and a caption stream that names the length. `parse` reads any Ogg bytes. Malformed pages and damaged
-checksums are counted, never raised; a page that fails its checksum gives no packet, and a packet that lost a page is dropped.
+checksums are counted, never raised; a page that fails its checksum gives no packet, and a packet that lost a page is dropped,
+the first page too. A first page on a serial number already seen begins a chained stream: `decode` puts the samples and lengths of
+chained streams together, and counts streams of other content, or with an unusable header, as foreign.
 
 A null text counts as empty: 64 zero samples. Equal texts give equal bytes. Null media parse as no page. Extra columns are ignored.
 """
@@ -93,8 +95,9 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
 
 
 def parse(data: bytes | None) -> dict:
-    """The logical streams of Ogg bytes by serial number: packets with (end granule or None), and counts of what was found."""
-    streams: dict[int, dict] = {}
+    """The logical streams of Ogg bytes by (serial number, place in the chain): packets with (end granule or None), and counts of what was found."""
+    streams: dict[tuple[int, int], dict] = {}
+    current: dict[int, dict] = {}
     pages = bad = 0
     at, data = 0, data or b""
     while (at := data.find(b"OggS", at)) >= 0 and at + 27 <= len(data):
@@ -111,12 +114,19 @@ def parse(data: bytes | None) -> dict:
             at += 4
             continue
         pages += 1
-        s = streams.setdefault(serial, {"packets": [], "open": b"", "whole": True, "next": sequence, "gaps": 0, "last": False})
-        if sequence != s["next"]:
+        s = current.get(serial)
+        if s is None or flags & _FIRST:  # a first page on a known serial begins a chained stream
+            chain = sum(k == serial for k, _ in streams)
+            s = current[serial] = streams[serial, chain] = {"packets": [], "open": b"", "whole": bool(flags & _FIRST), "next": sequence if flags & _FIRST else 0, "gaps": 0, "last": False}
+        if sequence != s["next"]:  # a stream whose first page is lost has a gap before what is left
             s["gaps"] += 1
             s["open"], s["whole"] = b"", False
         if not flags & _CONTINUED:
+            if s["open"]:  # the rest of a packet never came
+                s["gaps"] += 1
             s["open"], s["whole"] = b"", True
+        elif not s["open"]:  # the rest of a packet whose begin isn't here
+            s["whole"] = False
         s["next"], s["last"] = sequence + 1, bool(flags & _LAST)
         body, k, finished = at + 27 + n, 0, []
         for value in re.findall(rb"\xff*[^\xff]|\xff+$", lacing, re.DOTALL):
@@ -153,16 +163,18 @@ def times(packets: list[tuple[bytes, int | None]], rate: int) -> list[tuple[floa
 def decode(media: bytes | None) -> tuple[bytes, int | None, dict]:
     """The samples, the length that the caption names, and features of the physical stream."""
     found = parse(media)
-    payload, n_bytes, spans, rate = b"", None, [], RATE
-    for serial in sorted(found["streams"]):
-        packets = found["streams"][serial]["packets"]
+    payload, n_bytes, spans, rate, odd = b"", None, [], RATE, 0
+    for place in sorted(found["streams"]):
+        packets = found["streams"][place]["packets"]
         head = packets[0][0] if packets else b""
-        if head[:8] == _SAMPLES:
-            rate = struct.unpack_from("<I", head, 8)[0]
-            payload = b"".join(x for x, _ in packets[1:])
+        if head[:8] == _SAMPLES and len(head) >= 12 and (named := struct.unpack_from("<I", head, 8)[0]):
+            rate = named
+            payload += b"".join(x for x, _ in packets[1:])
             spans = times(packets[1:], rate)
-        elif head[:8] == _CAPTION and len(packets) > 1:
-            n_bytes = int(packets[1][0])
+        elif head[:8] == _CAPTION and len(packets) > 1 and re.fullmatch(rb"[0-9]{1,18}", packets[1][0]):
+            n_bytes = (n_bytes or 0) + int(packets[1][0])
+        else:
+            odd += 1
     return payload, n_bytes, {
         "streams": len(found["streams"]),
         "pages": found["pages"],
@@ -170,6 +182,7 @@ def decode(media: bytes | None) -> tuple[bytes, int | None, dict]:
         "packets": sum(len(s["packets"]) for s in found["streams"].values()),
         "gaps": sum(s["gaps"] for s in found["streams"].values()),
         "ended": sum(s["last"] for s in found["streams"].values()),
+        "foreign": odd,
         "rate": rate,
         "seconds": f"{spans[-1][1]:.4f}" if spans else "0.0000",
         "last_start": f"{spans[-1][0]:.4f}" if spans else "0.0000",
