@@ -41,8 +41,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(*toxicity.sample(docs, labels))
-    return toxicity.score_documents(docs, model).withColumn("held_out", F.coalesce(crc_bucket(F.col("doc_id")) == 0, F.lit(False))).select("doc_id", "held_out", "score", "predicted", "n_toxic")
+    model = toxicity.fit_table(docs, labels)
+    return toxicity.score_documents(docs, model).withColumn("held_out", F.coalesce(crc_bucket(F.col("doc_id")) == 0, F.lit(False))).select("doc_id", "held_out", "score", "predicted", "n_toxic", "spans")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +65,13 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_records, op3_ogg, op4_lines, op5
 ORACLE_SQL = {
     "op4_lines": f"""
         WITH numbered AS (SELECT doc_id, source, text, row_number() OVER () AS r FROM documents),
-        lines AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM numbered),
+        lines AS (SELECT r, doc_id, source, md5(text) AS whole, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM numbered),
         keyed AS (SELECT *, regexp_replace(line, '^[ \\x09-\\x0D]+|[ \\x09-\\x0D]+$', '', 'g') AS k,
-            len(regexp_extract_all(line, '[^ \\x09-\\x0D]+')) >= {linededup.MIN_WORDS} AS counts FROM lines),
-        shared AS (SELECT k, min(doc_id) AS first FROM keyed WHERE counts GROUP BY k HAVING count(DISTINCT source) >= {linededup.MIN_SITES}),
-        marked AS (SELECT keyed.*, shared.k IS NOT NULL AND keyed.doc_id <> shared.first AS gone FROM keyed LEFT JOIN shared ON keyed.counts AND keyed.k = shared.k)
+            len(regexp_extract_all(line, '[^ \\x09-\\x0D]+')) AS words FROM lines),
+        shared AS (SELECT k, min(doc_id) AS first, arg_min(whole, doc_id) AS first_whole FROM keyed WHERE k <> '' GROUP BY k, words
+            HAVING CASE WHEN words >= {linededup.LONG_WORDS} THEN count(DISTINCT whole) >= {linededup.LONG_SITES}
+                WHEN words >= {linededup.MIN_WORDS} THEN count(DISTINCT source) >= {linededup.MIN_SITES} ELSE count(DISTINCT source) >= {linededup.SHORT_SITES} END),
+        marked AS (SELECT keyed.*, shared.k IS NOT NULL AND keyed.doc_id <> shared.first AND NOT (words >= {linededup.LONG_WORDS} AND whole = first_whole) AS gone FROM keyed LEFT JOIN shared ON keyed.k = shared.k)
         SELECT any_value(doc_id) AS doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text,
             count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed
         FROM marked GROUP BY r""",

@@ -1,14 +1,16 @@
 """Toxicity by a linear-chain conditional random field over words: spans from token labels, document scores from marginals.
 
-Training takes a bounded sample of labelled rows (`most_rows` of each class, in the order of a hash of doc_id, of documents of at most
-`most_chars`). Its tokens get their labels from the documents': a word of a toxic document is labelled toxic if the word or
-one of its prefixes is strongly associated with toxic documents. The field learns weights of words, prefixes, suffixes
+Training takes a bounded sample of labelled rows: `most_rows` of each class, in the order of a hash of doc_id. Texts longer than
+`most_chars` send windows of at most WINDOW characters of their lines, in the order of a hash, so many that they hold about
+`most_chars`; others are sent whole. The tokens get their labels from the documents': a word of a toxic document is labelled toxic if the
+word or one of its prefixes is strongly associated with toxic documents. The field learns weights of words, prefixes, suffixes
 and shapes, and of label moves; forward-backward marginals give each word's probability. A document's expected
-number of toxic words and its surest word go through a logistic function that is fitted to the same sample.
+number of toxic words and its surest word go through a logistic function that is fitted to the sample's whole texts, which the executors read.
 
 Scoring takes every line of every whole text as a sequence. A null or empty text has no word and gets the score of none.
-Only the text is an input of a score. Null labels and labels without a document are left out of training; if one
-of the classes has no row, every score is 0. Rows that share a doc_id are scored apart. Extra columns are ignored.
+Only the text is an input of a score. Null labels and labels without a document are left out of training, and a doc_id with
+several labels counts as toxic if one of them says so; if one of the classes has no row, every score is 0. Rows that share a
+doc_id are scored apart. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, only_memo, parts, release
+from .common import crc_bucket, only_memo, parts, release, stored
 from .crf import Crf, train
 
-#: Bounds of the training sample.
-MOST_ROWS, MOST_CHARS = 1200, 10_000
+#: Bounds of the training sample: rows of each class, and characters that a long text sends to the driver, in windows.
+MOST_ROWS, MOST_CHARS, WINDOW = 1200, 10_000, 1000
 PREFIXES = range(3, 8)
 #: A token is labelled toxic if its word or prefix is in this many times the share of toxic documents as of others,
 ODDS = 25.0
@@ -51,11 +53,15 @@ def features(word: str) -> list[str]:
     return out
 
 
+def split_lines(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The lines of each text, and the words of each line."""
+    lines = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
+    return lines, pc.utf8_split_whitespace(lines.flatten())
+
+
 def lines_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """For a batch: each word's number, the distinct words, the lengths of the lines, and the number of lines of each text."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lines = pc.split_pattern(texts, "\n")
-    words = pc.utf8_split_whitespace(lines.flatten())
+    lines, words = split_lines(texts)
     flat = pc.utf8_lower(pc.utf8_trim(words.flatten(), characters=_EDGE))
     coded = flat.dictionary_encode()
     return coded.indices.to_numpy(), coded.dictionary.to_pylist(), pc.list_value_length(words).to_numpy().astype(np.int64), pc.list_value_length(lines).to_numpy().astype(np.int64)
@@ -162,8 +168,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> list[float]:
     return w.tolist()
 
 
-def fit(toxic: list[str], clean: list[str]) -> Model:
-    """From whole texts of both classes."""
+def field(toxic: list[str], clean: list[str]) -> Model:
+    """The trained field, without a function of document scores."""
     if not toxic or not clean:
         return Model({}, np.zeros((2, 2)), np.zeros(2), [], [0.0] * 3, -1)
     marks = weak_labels(toxic, clean)
@@ -188,45 +194,90 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     gap = crf.emission[:, 1] - crf.emission[:, 0]
     weights = {f: round(float(gap[k]), 4) for f, k in every.items() if abs(gap[k]) > 0.02}
     model = Model(weights, crf.moves, crf.first, [], [0.0] * 3, hash((len(weights), round(float(gap.sum()), 6), len(words))))
-    x = model.documents(pa.array(toxic + clean))[0]
-    model.shift = x.mean(0).tolist()
-    y = np.arange(len(x)) < len(toxic)
-    model.logistic = _logistic(x - model.shift, y.astype(float))
+    return model
+
+
+def settled(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
+    """The model with document scores, from features of documents and their labels."""
+    if model.weights and len(set(y.tolist())) == 2:
+        model.shift = x.mean(0).tolist()
+        model.logistic = _logistic(x - model.shift, y.astype(float))
     _MODELS.clear()
     release()
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", hold_out: bool = True) -> tuple[list[str], list[str]]:
-    """Toxic and clean texts of the training sample: at most most_rows of each reach the driver."""
-    marks = labels.select(F.col(id_col).alias("_doc"), F.col(label_col).cast("int").alias("_label")).where(F.col("_doc").isNotNull() & F.col("_label").isNotNull())
+def fit(toxic: list[str], clean: list[str]) -> Model:
+    """From whole texts of both classes."""
+    model = field(toxic, clean)
+    return settled(model, model.documents(pa.array(toxic + clean, pa.large_string()))[0], np.arange(len(toxic) + len(clean)) < len(toxic))
+
+
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", hold_out: bool = True) -> DataFrame:
+    """_label and whole _text of the training sample: at most most_rows documents of each class, stored."""
+    marks = labels.select(F.col(id_col).alias("_doc"), F.col(label_col).cast("int").alias("_label")).where(F.col("_doc").isNotNull() & F.col("_label").isin(0, 1))
     if hold_out:
         marks = marks.where(crc_bucket(F.col("_doc")) != 0)
-    marks = marks.dropDuplicates(["_doc"])
+    marks = marks.groupBy("_doc").agg(F.max("_label").alias("_label"))
     order = F.xxhash64("_doc")
-    wide = marks.where("_label = 1").orderBy(order, "_doc").limit(4 * most_rows).unionByName(marks.where("_label = 0").orderBy(order, "_doc").limit(2 * most_rows))
-    short = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= most_chars)
-    rows = short.join(F.broadcast(wide), F.col("_id") == F.col("_doc")).select("_doc", "_label", "_text", order.alias("_order"))
+    # several times as many labels as rows, for labels without a document
+    wide = [marks.where(F.col("_label") == k).orderBy(order, "_doc").limit(4 * most_rows) for k in (1, 0)]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    found = stored(rows.join(F.broadcast(wide[0].unionByName(wide[1])), F.col("_id") == F.col("_doc")).select("_doc", "_label", "_text", "_hash"), "labelled")
+    # a repeated row counts once: the text with the smallest hash
+    ids = found.groupBy("_label", "_doc").agg(F.min("_hash").alias("_hash"))
+    taken = [ids.where(F.col("_label") == k).orderBy(order, "_doc").limit(most_rows) for k in (1, 0)]
+    chosen = found.join(F.broadcast(taken[0].unionByName(taken[1])), ["_label", "_doc", "_hash"])
+    return chosen.dropDuplicates(["_doc", "_label", "_hash"]).select("_doc", "_label", "_text")
+
+
+def drawn(rows: DataFrame, most_chars: int = MOST_CHARS) -> tuple[list[str], list[str]]:
+    """Texts of both classes for the driver: whole, or of long ones windows of their lines in the order of a hash."""
+    windows = F.array_sort(F.transform(F.regexp_extract_all("_text", F.lit(r"([^\n]{1,%d})" % WINDOW), F.lit(1)), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("w"))))
+    some = F.array_join(F.transform(F.slice(windows, 1, max(1, most_chars // WINDOW)), lambda x: x["w"]), "\n")
+    text = F.when(F.length("_text") <= most_chars, F.col("_text")).otherwise(some)
     out: tuple[list[str], list[str]] = ([], [])
-    for side in (1, 0):
-        taken = rows.where(F.col("_label") == side).orderBy("_order", "_doc", "_text").limit(most_rows).collect()
-        out[1 - side].extend(x["_text"] for x in taken)
+    for label, text in rows.select("_label", F.coalesce(text, F.lit("")).alias("_text"), "_doc").orderBy(F.xxhash64("_doc"), "_doc").drop("_doc").collect():
+        out[1 - label].append(text)
     return out
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, score, n_toxic (expected toxic words), predicted."""
+def fit_table(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", hold_out: bool = True) -> Model:
+    """The model of a labelled table. The executors take the features of the sample's whole texts; three numbers of each reach the driver."""
+    rows = stored(sample(docs, labels, most_rows, id_col, text_col, label_col, hold_out), "sample")
+    model = field(*drawn(rows, most_chars))
+    if not model.weights:
+        return model
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, ROWS):
+            x = sent.value.documents(batch.column(1))[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(3))], ["label", "a", "b", "c"])
+
+    found = np.array(sorted(tuple(r) for r in rows.select("_label", "_text").mapInArrow(measured, "label int, a double, b double, c double").collect()))
+    return settled(model, found[:, 1:], found[:, 0] == 1)
+
+
+SPANS = "array<struct<start: bigint, finish: bigint, probability: double>>"
+
+
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """id_col, score, n_toxic (expected toxic words), predicted, spans: offsets (code points, ends exclusive) of runs of words that
+    are toxic with at least the threshold's probability, with the run's highest."""
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    item = pa.list_(pa.struct([("start", pa.int64()), ("finish", pa.int64()), ("probability", pa.float64())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in parts(batches, ROWS):
-            found = m.documents(batch.column(1))[0]
+            found, p, sizes, lines = m.documents(batch.column(1))
             score = m.score(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(np.expm1(found[:, 0])), pa.array((score >= 0.5).astype(np.int32))], [id_col, "score", "n_toxic", "predicted"])
+            marked = [[{"start": a, "finish": b, "probability": x} for a, b, x in row] for row in runs(batch.column(1), p, sizes, lines, threshold)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(np.expm1(found[:, 0])), pa.array((score >= 0.5).astype(np.int32)), pa.array(marked, item)], [id_col, "score", "n_toxic", "predicted", "spans"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scored, f"`{id_col}` {kind}, score double, n_toxic double, predicted int")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scored, f"`{id_col}` {kind}, score double, n_toxic double, predicted int, spans {SPANS}")
 
 
 def keep_clean(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -243,19 +294,35 @@ def keep_clean(docs: DataFrame, model: Model, columns: list[str], text_col: str
     return rows.mapInArrow(kept, rows.schema)
 
 
+def runs(texts: pa.Array, p: np.ndarray, sizes: np.ndarray, lines: np.ndarray, threshold: float) -> list[list[tuple[int, int, float]]]:
+    """Offsets of runs of neighbouring words of a line whose probabilities reach the threshold. Only lines with such a word are searched again."""
+    out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(lines))]
+    hits = np.flatnonzero(p >= threshold)
+    if not len(hits):
+        return out
+    by_text, by_line = split_lines(texts)
+    word_ends, line_ends = np.cumsum(sizes), np.cumsum(lines)
+    long = pc.utf8_length(by_text.flatten()).to_numpy() + 1
+    before = np.cumsum(long) - long
+    for line in np.unique(np.searchsorted(word_ends, hits, side="right")).tolist():
+        text = int(np.searchsorted(line_ends, line, side="right"))
+        whole, at, run = by_text.flatten()[line].as_py(), 0, None
+        begun = int(before[line] - before[line_ends[text] - lines[text]])
+        for word, x in zip(by_line[line].as_py(), p[word_ends[line] - sizes[line] : word_ends[line]].tolist(), strict=True):
+            at = whole.find(word, at)  # words follow one another with only white space between
+            if x < threshold:
+                run = None
+            elif run is None:
+                run = [begun + at, begun + at + len(word), x]
+                out[text].append(run)
+            else:
+                run[1], run[2] = begun + at + len(word), max(run[2], x)
+            at += len(word)
+    return [[tuple(x) for x in row] for row in out]
+
+
 def spans(text: str | None, model: Model, threshold: float = 0.5) -> list[tuple[int, int, float]]:
-    """Offsets of runs of words that are likelier toxic than not, with the run's highest probability."""
-    text = text or ""
-    out: list[list] = []
-    begun = 0
-    for line in text.split("\n"):
-        words = list(re.finditer(r"\S+", line))
-        p = model.documents(pa.array([" ".join(m[0] for m in words)], pa.string()))[1]
-        for m, x in zip(words, p, strict=False):
-            if x >= threshold:
-                if out and not text[out[-1][1] : begun + m.start()].strip():
-                    out[-1][1], out[-1][2] = begun + m.end(), max(out[-1][2], float(x))
-                else:
-                    out.append([begun + m.start(), begun + m.end(), float(x)])
-        begun += len(line) + 1
-    return [tuple(x) for x in out]
+    """The offsets of one text."""
+    texts = pa.array([text], pa.large_string())
+    _, p, sizes, lines = model.documents(texts)
+    return runs(texts, p, sizes, lines, threshold)[0]
