@@ -21,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    model = tox.fit(*tox.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = tox.fit_table(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return tox.keep_clean(docs, model, COLUMNS)
 
 
