@@ -28,8 +28,8 @@ MOST_TIMES = 3.0
 BLOCK = 4096
 #: Documents of each power of two of words that a block reserves, and an upper bound of what it leaves fractional.
 RESERVE, LEFT = 2, 2 + 2 * 32
-#: One row for each source reaches the driver.
-MOST_SOURCES = 1_000_000
+#: Bytes of the table of sources up to which it is broadcast, after being measured; beyond, rows and sources meet in a shuffled join.
+BROADCAST_BYTES = 64 << 20
 _TINY = 1e-9
 
 
@@ -54,6 +54,34 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
         full |= above
 
 
+def source_table(slim: DataFrame, weights: tuple[float, ...], most_times: float, block: int) -> tuple[DataFrame, int]:
+    """_source, source_size, target, blocks of every source, and the table's bytes. As `targets`, for any number of sources: ranks come from a
+    sort over partitions, and each round of sharing the excess is one aggregation; one row a partition reaches the driver."""
+    totals = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    placed = totals.orderBy(F.col("source").asc_nulls_last()).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = stored(placed, "mix-sources")
+    begun, counts = 0, []
+    for part, n in sorted(tuple(x) for x in placed.groupBy("part").count().collect()):
+        counts.append((part, begun))
+        begun += n
+    begins = slim.sparkSession.createDataFrame(counts, "_part int, _begun long")
+    rank = (F.col("_begun") + F.col("at")) % len(weights)
+    weighed = placed.join(F.broadcast(begins), F.col("part") == F.col("_part")).withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank + 1).cast("int")))
+    weighed = stored(weighed.select("source", "size", "n", "weight"), "mix-weights")
+    total, n_bytes = weighed.agg(F.sum("size"), F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 48)).first()
+    rest, over, full = float(total or 0), 1.0, -1
+    above = F.lit(False)
+    while True:  # sources whose share is above their most; the set only grows
+        held, free, n_full = weighed.agg(F.sum(F.when(above, F.col("size"))), F.sum(F.when(~above, F.col("weight"))), F.count_if(above)).first()
+        if n_full == full:
+            break
+        full, rest, over = n_full, float(total or 0) - most_times * float(held or 0), float(free or 1)
+        above = above | (F.lit(rest) * F.col("weight") / F.lit(over) > F.lit(most_times) * F.col("size"))
+    target = F.when(above, F.lit(float(most_times)) * F.col("size")).otherwise(F.lit(rest) * F.col("weight") / F.lit(over))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("long")
+    return stored(weighed.select(F.col("source").alias("_source"), F.col("size").alias("source_size"), target.alias("target"), blocks.alias("blocks")), "mix-plan"), int(n_bytes or 0)
+
+
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Inclusion probabilities moved until at most two are fractional, with their sum and that of size * p unchanged."""
     p, scaled = p.tolist(), (size / max(1.0, float(size.max(initial=0)))).tolist()
@@ -130,18 +158,14 @@ def _fly(block: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """id_col, source_col, size, source_size, target, copies, taken (size * copies), and the columns in extra."""
     block = max(block, 2 * LEFT)
-    spark = docs.sparkSession
     id_kind = docs.schema[id_col].dataType.simpleString()
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     slim = docs.select(F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), row.alias("row"))
     slim = stored(slim, "mix-sizes")
-    totals = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    target = targets([(x["source"], x["size"]) for x in totals], weights, most_times)
-    plan = [(x["source"], int(x["size"]), target[x["source"]], max(1, -(-x["n"] // block))) for x in totals]
-    sources = spark.createDataFrame(plan, "_source string, source_size long, target double, blocks long")
-    with_plan = slim.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    sources, n_bytes = source_table(slim, weights, most_times, block)
+    if n_bytes <= BROADCAST_BYTES:
+        sources = F.broadcast(sources)
+    with_plan = slim.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = with_plan.withColumns({"whole": F.floor(ratio), "p": ratio - F.floor(ratio)})
     units = units.withColumns({"block": F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks")), "level": F.lit(0)})
@@ -151,7 +175,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float
     flown = stored(flown, "mix-flown")
     fractional = (F.col("p") > _TINY) & (F.col("p") < 1 - _TINY)
     done, left = flown.where(~fractional), flown.where(fractional)
-    blocks = max((b for *_, b in plan), default=1)
+    blocks = sources.agg(F.max("blocks")).first()[0] or 1
     level, settled = 1, []
     while blocks > 1:
         blocks = -(-blocks * LEFT // block)
@@ -166,7 +190,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float
     taken = sure.groupBy("source").agg(F.sum(F.col("size") * (F.col("whole") + F.round("p"))).alias("_taken"))
     base = left.groupBy("source").agg(F.sum(F.col("size") * F.col("whole")).alias("_base"))
     owed = base.join(taken.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.coalesce("_taken", F.lit(0)) + F.col("_base")).alias("_have"))
-    owed = owed.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source"))).select(F.col("source").alias("_s"), (F.col("target") - F.col("_have")).alias("owed"))
+    owed = owed.join(sources, F.col("source").eqNullSafe(F.col("_source"))).select(F.col("source").alias("_s"), (F.col("target") - F.col("_have")).alias("owed"))
 
     def land(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["row", "size"], kind="stable").reset_index(drop=True)
@@ -175,7 +199,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float
 
     last = left.join(owed, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").groupBy("source").applyInPandas(land, schema)
     chosen = sure.unionByName(last).withColumn("copies", (F.col("whole") + F.round("p")).cast("long"))
-    out = chosen.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source")))
+    out = chosen.join(sources, F.col("source").eqNullSafe(F.col("_source")))
     out = out.select(F.col("doc").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.col("row").alias("_row"))
     if not extra:
         return out.drop("_row")
