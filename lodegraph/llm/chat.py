@@ -2,7 +2,8 @@
 
 A turn is `<|im_start|>ROLE`, a line feed, TEXT, `<|im_end|>` and a line feed. Control strings of this and other templates are
 escaped inside roles and texts: a backslash is doubled, and one is put after the first character of a control string, so
-none of them appears inside a text and `unescape` gives the text back.
+none of them appears inside a text and `unescape` gives the text back. A line feed in a role, which would end the role, is
+written as a backslash and n (no control string has n second, so `unescape_role` gives it back).
 
 Turns are ordered by turn, then role and text, nulls first; repeated rows stay. A null text or role counts as empty. A
 conversation that doesn't end with an assistant turn gets a last row without a target, so that no turn is lost. Rows
@@ -36,9 +37,17 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\([\\n]?)", lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
 def turn_text(role: str | None, text: str | None) -> tuple[str, str, str]:
     """What comes before a turn's text, the escaped text, and what follows."""
-    return f"{START}{escape(role or '').replace(chr(10), ' ')}\n", escape(text or ""), f"{END}\n"
+    return f"{START}{escape_role(role or '')}\n", escape(text or ""), f"{END}\n"
 
 
 def expand(conversations: DataFrame) -> DataFrame:
@@ -88,7 +97,7 @@ def expand(conversations: DataFrame) -> DataFrame:
 
 def parse_turns(formatted: str) -> list[tuple[str, str]]:
     """Role and text of each turn of a formatted conversation."""
-    return [(unescape(a), unescape(b)) for a, b in _TURN.findall(formatted)]
+    return [(unescape_role(a), unescape(b)) for a, b in _TURN.findall(formatted)]
 
 
 def digests(examples: DataFrame) -> DataFrame:
