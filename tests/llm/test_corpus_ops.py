@@ -49,22 +49,26 @@ def test_components(spark):
 
 
 def lines_by_hand(rows, min_sites, min_words):
-    keep = lambda x: len(re.findall(f"[^{SPACE}]+", x)) >= min_words
+    """A long line's sites are the distinct texts that hold it, and it stays in copies of the first one."""
+    n_words = lambda x: len(re.findall(f"[^{SPACE}]+", x))
+    long = lambda x: n_words(x) >= linededup.LONG_WORDS
+    need = lambda x: linededup.LONG_SITES if long(x) else min_sites if n_words(x) >= min_words else linededup.SHORT_SITES
     trim = lambda x: x.strip(" \t\n\x0b\x0c\r")
     sites, first = defaultdict(set), {}
     for i, text, site in rows:
         for line in (text or "").split("\n") if text is not None else []:
-            if keep(line):
-                sites[trim(line)].add(site)
+            if trim(line):
+                sites[trim(line)].add(text if long(line) else site)
                 if i is not None:
-                    first[trim(line)] = min(i, first.get(trim(line), i))
+                    first[trim(line)] = min((i, text), first.get(trim(line), (i, text)), key=lambda x: x[0])
     out = []
     for i, text, _ in rows:
         if text is None:
             out.append((i, None, 0, 0))
             continue
         lines = text.split("\n")
-        left = [x for x in lines if not (keep(x) and len(sites[trim(x)]) >= min_sites and i != first.get(trim(x)))]
+        stays = lambda x: i == first.get(trim(x), (i,))[0] or (long(x) and text == first[trim(x)][1])  # noqa: E731, B023
+        left = [x for x in lines if not trim(x) or len(sites[trim(x)]) < need(x) or stays(x)]
         out.append((i, "\n".join(left), len(lines), len(lines) - len(left)))
     return sorted(out, key=str)
 
@@ -77,6 +81,22 @@ def test_lines_near_and_far_from_the_threshold(docs, min_sites):
     assert got == lines_by_hand(rows, min_sites, linededup.MIN_WORDS)
 
 
+def test_lines_by_their_length(docs):
+    passage = "a passage of many words that goes on " * 8
+    rows = [(k, f"All rights reserved.\nmine {k}\n{passage}" if k < 14 else f"All rights reserved.\nfrom one source only\n{passage.upper()}{k // 16}", f"s{k}" if k < 12 else "hot") for k in range(40)]
+    got = sorted((tuple(r) for r in linededup.remove_shared_lines(docs(rows)).collect()), key=str)
+    assert got == lines_by_hand(rows, linededup.MIN_SITES, linededup.MIN_WORDS)
+    assert "reserved" not in dict((r[0], r[1]) for r in got)[5] and sum(passage in r[1] for r in got) == 1
+
+
+@pytest.mark.parametrize("share", [linededup.HOT_SHARE, 4])
+def test_lines_hot_or_not(docs, monkeypatch, share):
+    monkeypatch.setattr(linededup, "HOT_SHARE", share)
+    rows = [(k, f"one line that every document has\nanother line of group {k % 9} here\nand this only {k}\n\n", f"s{k % 7}") for k in range(60)] + [(None, "one line that every document has", "x")] * 3
+    got = sorted((tuple(r) for r in linededup.remove_shared_lines(docs(rows)).collect()), key=str)
+    assert got == lines_by_hand(rows, linededup.MIN_SITES, linededup.MIN_WORDS)
+
+
 def test_lines_empty(none):
     assert linededup.remove_shared_lines(none).count() == 0
 
@@ -163,6 +183,60 @@ def test_toxicity_query(spark, sf_dir):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
 
 
+def score_by_hand(model, text):
+    """Words, lines and marginals one after another, without arrays of texts."""
+    every, words = [], 0
+    for line in (text or "").split("\n"):
+        tokens = [w.strip(toxicity._EDGE).lower() for w in line.split()]
+        words += len(line.split())
+        gaps = [sum(model.weights.get(f, 0.0) for f in toxicity.features(w)) for w in tokens]
+        first, moves = np.exp(model.crf.first), np.exp(model.crf.moves)
+        ahead = []
+        for k, g in enumerate(gaps):
+            f = (first if not k else ahead[-1] @ moves) * np.exp([0.0, g])
+            ahead.append(f / f.sum())
+        back = np.ones(2)
+        for k in range(len(gaps) - 1, -1, -1):
+            both = ahead[k] * back
+            every.append(both[1] / both.sum() if tokens[k] else 0.0)
+            back = moves @ (np.exp([0.0, gaps[k]]) * back)
+            back /= back.sum()
+    found = np.array([np.log1p(sum(every)), max(every, default=0.0), np.log1p(words)])
+    return 1 / (1 + np.exp(-(model.logistic[0] + (found - model.shift) @ np.array(model.logistic[1:]))))
+
+
+def test_toxicity_query_against_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_table(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = {r["doc_id"]: r for r in entries.op7_toxicity(spark, sf_dir).collect()}
+    for i, text in texts.items():
+        if len(text) < 20_000:
+            assert abs(rows[i]["score"] - score_by_hand(model, text)) < 1e-6
+        for a, b, p in rows[i]["spans"]:
+            assert p >= 0.5 and text[a:b].strip() == text[a:b] and (a == 0 or text[a - 1].isspace()) and (b == len(text) or text[b].isspace())
+    assert any(r["spans"] for r in rows.values())
+
+
+def test_toxicity_finds_most_of_the_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r["predicted"] for r in entries.op7_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    held = [(r["toxic"], got[r["doc_id"]]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["doc_id"] in got]
+    caught, alarms = [p for t, p in held if t], [p for t, p in held if not t]
+    assert sum(caught) >= 0.7 * len(caught) and sum(alarms) <= 0.1 * len(alarms)
+    assert docs.count() == len(got)
+
+
+def test_toxicity_sample(spark):
+    docs = spark.createDataFrame([(k, "w " * (k + 1) if k < 8 else "line one\n" * 4000 + "end") for k in range(10)] + [(None, "x"), (3, "w w w w ")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)] + [(3, 0), (2, 1), (4, None), (None, 1), (99, 1), (5, 7)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels, hold_out=False)
+    assert {r["_doc"]: r["_label"] for r in rows.collect()} == {k: int(k % 2 == 1 or k == 2) for k in range(10)} and rows.count() == 10
+    toxic, clean = toxicity.drawn(rows, most_chars=2000)
+    assert len(toxic) == 6 and len(clean) == 4 and max(map(len, toxic + clean)) <= 2002
+    assert toxicity.fit_table(docs, labels.where("toxic = 0")).logistic == []
+
+
 def test_toxicity_on_held_out_rows():
     rng = np.random.default_rng(2)
     plain = ["".join(rng.choice(list("aeioustrn"), 6)) for _ in range(400)]
@@ -288,6 +362,24 @@ def test_mixing_in_many_blocks(docs):
     assert all(abs(by[s] - target[s]) <= 2 for s in target)
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "é", "Z", "\U0001f600", "", None, "src10", "src9"]), st.integers(0, 400)), max_size=12, unique_by=lambda x: x[0]))
+def test_plan_of_sources_is_that_of_the_list(sizes):
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows = spark.createDataFrame([(s, n) for s, n in sizes], "source string, size long")
+    plan, _ = mixing.source_table(rows, mixing.WEIGHTS, mixing.MOST_TIMES, 4096)
+    assert {r["_source"]: r["target"] for r in plan.collect()} == pytest.approx(mixing.targets(sizes))
+
+
+def test_mixing_with_a_shuffled_plan(docs, monkeypatch):
+    rows = [(k, "w " * (k % 30), f"s{k % 40}") for k in range(400)] + [(500, "w w", None)]
+    want = sorted(map(str, mixing.mix(docs(rows)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, mixing.mix(docs(rows)).collect())) == want
+
+
 def test_mixing_odd(odd, none):
     rows = mixing.mix(odd, extra=("text",)).collect()
     assert len(rows) == odd.count() and {r["size"] for r in rows if not r["text"]} == {0}
