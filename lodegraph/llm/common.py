@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where tests and local runs keep intermediate tables if the cluster names no shared folder.
+#: Where local runs, as of tests, keep intermediate tables if no shared folder is named.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/lodegraph"
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: A side may be broadcast up to this many rows of two long columns (about 32 MB), after being counted.
@@ -27,9 +27,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where none is set."""
+    """The folder in spark.checkpoint.dir. Where none is set, a local one if driver and executors are one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = LOCAL_CHECKPOINTS
         os.makedirs(found, exist_ok=True)
         found = f"file://{found}"
@@ -54,6 +56,18 @@ def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df, stored, with a column `number`: each row's place from 0 in the order. A sort over partitions; one row a partition reaches the driver."""
+    at = {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    placed = stored(df.orderBy(*order).withColumns(at), name)
+    begun, begins = 0, []
+    for part, n in sorted(tuple(x) for x in placed.groupBy("_part").count().collect()):
+        begins.append((part, begun))
+        begun += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(begins, "_part int, _begun long"))
+    return placed.join(starts, "_part").withColumn("number", F.col("_begun") + F.col("_at")).drop("_part", "_at", "_begun")
+
+
 def crc_bucket(col: Column) -> Column:
     """crc32(id as text) mod 5."""
     return F.crc32(col.cast("string").cast("binary")) % 5

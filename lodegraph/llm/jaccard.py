@@ -8,11 +8,12 @@ How pairs are found without comparing all of them:
 1. Documents with equal sets become one node.
 2. Sets are banded by size. Similar sets of n shingles differ in at most H = n * (100 - percent) / percent of them, so
    if the hash space is cut into m > H ranges, at least m - H ranges hold equal parts in both. Each set is filed under its
-   largest parts, enough of them that one equal part of any partner is filed too. Documents that share a filed part are candidates.
-3. Each candidate is first compared with the smallest document it shares a part with. Components of those links save
+   largest parts, enough of them that one equal part of any partner is filed too (small sets, and all at low thresholds, under their smallest
+   shingles). Documents that share a filed key are candidates.
+3. Each candidate is first compared with the smallest document it shares a key with. Components of those links save
    comparing their members with each other.
 4. What is left in a component of candidates is cut into tiles of size-banded blocks. In a tile, hashed bitmaps bound the overlap from
-   above by counting bits; pairs that pass are settled by intersecting the sorted arrays of shingles.
+   above by counting bits; pairs that pass are settled by intersecting the sorted arrays of shingles. Tiles get those arrays, not texts.
 
 Nulls: a null or empty text has an empty set and links with nothing. A null doc_id links with nothing and has a null component. Rows
 that share a doc_id are one document: what any of its rows links to. An empty table gives no row. Extra columns are ignored.
@@ -26,14 +27,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, sized_broadcast, stored
+from .common import numbered, parts, sized_broadcast, stored
 from .components import connected_components
 
-#: Nodes of a block; a tile holds two of them.
+#: Components of candidates of more nodes than this are cut into blocks; a tile holds two of them.
 BLOCK = 256
+#: Nodes and shingles of a block, at most (but for a single set).
+BLOCK_NODES, BLOCK_SHINGLES = 2048, 1_000_000
+#: Sets up to this size, and all sets below this threshold, are filed under single shingles.
+SMALL, PARTS_FROM = 32, 70
 #: Nodes of whole small components that share a task.
 GROUPED = 2000
 #: Documents that a worker reads at once.
@@ -95,15 +100,23 @@ def allowed(n: int, percent: int) -> int:
 
 
 def filed_keys(x: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the parts that a set is filed under; sets that link, and are not equal, share one."""
+    """Keys that a set is filed under; sets that link, and are not equal, share one.
+
+    Small sets, and all sets at low thresholds, would leave parts empty, which any two sets have in common. They are filed under
+    their smallest shingles instead: sets that link have at least the share `percent` of either in common, so they share one of
+    the n - least + 1 smallest of both. A set that may link with a small one is filed both ways.
+    """
     n = len(x)
     most = allowed(n, percent)
     if not most:
         return np.zeros(0, np.int64)
-    own = n.bit_length() - 1
-    bands = [own, own - 1] if own and n * percent < 100 << own else [own]
     out = []
-    for band in bands:
+    if percent < PARTS_FROM or n * percent <= 100 * SMALL:
+        out.append(mixed(x[: n + percent * n // -100 + 1] ^ _M2).view(np.int64))
+    if percent < PARTS_FROM or n <= SMALL:
+        return out[0]
+    own = n.bit_length() - 1
+    for band in range((-(-n * percent // 100)).bit_length() - 1, own + 1):
         parts = _parts_at_least(band, percent)
         part = ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         counts = np.bincount(part, minlength=parts)
@@ -148,21 +161,8 @@ def _signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     return slim.mapInArrow(rows, "doc long, n long, a long, b long, keys array<long>")
 
 
-class _Sets:
-    """The sets of texts seen lately, by node."""
-
-    def __init__(self, k: int, most: int = 2_000_000):
-        self.k, self.most, self.held, self.total = k, most, {}, 0
-
-    def get(self, node: int, text: str) -> np.ndarray:
-        found = self.held.get((node, len(text)))
-        if found is None or found[0] != text:
-            if self.total > self.most:
-                self.held.clear()
-                self.total = 0
-            found = self.held[node, len(text)] = (text, shingle_sets(pa.array([text]), self.k)[0])
-            self.total += len(found[1])
-        return found[1]
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u8")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -208,66 +208,98 @@ def tile_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], side
     return out
 
 
+def _large_tiles(large: DataFrame, percent: int) -> DataFrame:
+    """node, block, label, tile, side of the tiles of large components of candidates.
+
+    Nodes are numbered by component, size band, label and size in one sort over partitions, and each band is cut into blocks of so many nodes as
+    its sizes allow. A band meets itself and the next one: sets in others differ too much in size. Pairs of blocks that
+    both hold one and the same label are left out as ranges, so a component that is all but joined costs no pairs of its own blocks.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
+    placed = numbered(large.withColumn("band", band), ["block", "band", "label", "n", "node"], "blocks")
+    if placed.limit(1).count() == 0:
+        return large.select("node", "block", "label", F.lit(0).cast("long").alias("tile"), F.lit(0).alias("side")).limit(0)
+    per = placed.groupBy("block", "band").agg(F.min("number").alias("begun"), F.max("n").alias("largest"))
+    per = stored(per.withColumn("width", F.greatest(F.lit(1), F.least(F.lit(BLOCK_NODES), F.floor(F.lit(BLOCK_SHINGLES) / F.col("largest"))))), "bands")
+    cut = placed.join(sized_broadcast(per, per.count()), ["block", "band"]).withColumn("part", F.floor((F.col("number") - F.col("begun")) / F.col("width")))
+    cut = stored(cut.select("node", "block", "band", "label", "part"), "parts")
+    about = stored(cut.groupBy("block", "band", "part").agg(F.min("label").alias("l0"), F.max("label").alias("l1")), "about")
+    last = about.groupBy("block", "band").agg(F.max("part").alias("last"))
+    pure = about.where("l0 = l1").groupBy("block", "band", "l0").agg(F.min("part").alias("from"), F.max("part").alias("to"))
+    i = about.withColumns({"l": F.when(F.col("l0") == F.col("l1"), F.col("l0")), "next": F.col("band") + 1})
+    i = i.join(last, ["block", "band"]).join(pure.select("block", "band", F.col("l0").alias("l"), "to"), ["block", "band", "l"], "left")
+    i = i.join(last.select("block", F.col("band").alias("next"), F.col("last").alias("last2")), ["block", "next"], "left")
+    i = i.join(pure.select("block", F.col("band").alias("next"), F.col("l0").alias("l"), F.col("from").alias("from2"), F.col("to").alias("to2")), ["block", "next", "l"], "left")
+
+    def span(low, high):
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+    zero = F.lit(0).cast("long")
+    own = span(F.when(F.col("l").isNull(), F.col("part")).otherwise(F.col("to") + 1), F.col("last"))
+    beyond = F.when(F.col("last2").isNull(), F.array().cast("array<bigint>")).when(F.col("from2").isNull(), span(zero, F.col("last2"))).otherwise(F.concat(span(zero, F.col("from2") - 1), span(F.col("to2") + 1, F.col("last2"))))
+    there = F.concat(F.transform(own, lambda x: F.struct(F.col("band").alias("band"), x.alias("part"))), F.transform(beyond, lambda x: F.struct(F.col("next").alias("band"), x.alias("part"))))
+    tiles = i.select("block", "band", "part", F.explode(there).alias("o")).withColumn("tile", F.xxhash64("block", "band", "part", "o.band", "o.part"))
+    alone = (F.col("band") == F.col("o.band")) & (F.col("part") == F.col("o.part"))
+
+    def side(band, part, number):
+        return F.struct(band.alias("band"), part.alias("part"), F.lit(number).alias("side"))
+
+    both = F.array(side(F.col("band"), F.col("part"), 0), side(F.col("o.band"), F.col("o.part"), 1))
+    sides = tiles.select("block", "tile", F.explode(F.when(alone, F.array(side(F.col("band"), F.col("part"), -1))).otherwise(both)).alias("s"))
+    sides = sides.select("block", "tile", "s.band", "s.part", "s.side")
+    return cut.join(sides, ["block", "band", "part"]).select("node", "block", "label", "tile", "side")
+
+
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (smallest doc_id that links reach) of every row."""
     found = stored(_signatures(docs, k, percent, id_col, text_col), "signatures")
     sets = found.where(F.col("doc").isNotNull() & F.col("a").isNotNull()).groupBy("a", "b").agg(F.min("doc").alias("node"))
     sets = stored(sets, "sets")
     filed = found.where(F.size("keys") > 0).select("a", "b", "keys").join(sets, ["a", "b"])
-    parts = filed.select(F.explode("keys").alias("key"), "node")
-    first = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    pairs = stored(parts.withColumn("head", first).where("head <> node").select("head", "node").distinct(), "candidates")
+    filing = filed.select(F.explode("keys").alias("key"), "node")
+    heads = filing.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
+    pairs = stored(filing.join(heads, "key").where("head <> node").select("head", "node").distinct(), "candidates")
     block = connected_components(pairs.select(F.col("head").alias("u"), F.col("node").alias("v"))).select("node", F.col("component").alias("block"))
     n_nodes = block.count()
 
-    # a node is a document, so its text is found by doc_id
-    slim = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = stored(slim.join(sized_broadcast(block.select("node"), n_nodes), "node", "left_semi").distinct(), "texts")
+    # a node is a document, so its text is found by doc_id; from here on only its sorted shingles travel
+    slim = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, ROWS):
+            raw = [x.astype("<u8").tobytes() for x in shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["node", "set"])
+
+    hashed = slim.join(sized_broadcast(block.select("node"), n_nodes), "node", "left_semi").mapInArrow(shingled, "node long, set binary")
+    held = stored(hashed.where(F.length("set") > 0), "shingles")
     nearest = pairs.groupBy("node").agg(F.min("head").alias("head"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Sets(k)
         for batch in batches:
-            u, v, x, y = (batch.column(j).to_pylist() for j in range(4))
-            good = [similar(held.get(a, s), held.get(b, t), percent) for a, b, s, t in zip(u, v, x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], ["u", "v"])
+            good = pa.array([similar(_set(x), _set(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
 
-    a, b = texts.select(F.col("node").alias("head"), F.col("text").alias("text_u")), texts.withColumnRenamed("text", "text_v")
-    compared = nearest.join(b, "node").join(a, "head").select("head", "node", "text_u", "text_v")
+    a, b = held.select(F.col("node").alias("head"), F.col("set").alias("set_u")), held.withColumnRenamed("set", "set_v")
+    compared = nearest.join(b, "node").join(a, "head").select("head", "node", "set_u", "set_v")
     near = stored(compared.mapInArrow(verify, "u long, v long"), "near")
     joined = connected_components(near).select("node", F.col("component").alias("label"))
 
     labelled = stored(block.join(joined, "node", "left").select("node", "block", F.coalesce("label", "node").alias("label")), "labelled")
     open_ = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("block", "members")
     sizes = found.where("doc is not null").groupBy(F.col("doc").alias("node")).agg(F.max("n").alias("n"))
-    rest = labelled.join(open_, "block").join(sizes, "node")
+    rest = stored(labelled.join(open_, "block").join(sizes, "node"), "open")
     small = rest.where(F.col("members") <= BLOCK)
-    n_small = small.count()
-    tasks = max(1, -(-n_small // GROUPED))
+    tasks = max(1, -(-small.count() // GROUPED))
     tile_s = small.select("node", "block", "label", F.pmod(F.xxhash64("block"), F.lit(tasks)).alias("tile"), F.lit(-1).alias("side"))
-
-    # large ones: blocks in the order of size band and label, and the pairs of blocks that can hold a link
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    order = Window.partitionBy("block").orderBy("band", "label", "n", "node")
-    cut = stored(rest.where(F.col("members") > BLOCK).withColumn("band", band).withColumn("part", F.floor((F.row_number().over(order) - 1) / BLOCK)), "blocks")
-    about = cut.groupBy("block", "part").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    i, j = (about.select("block", *(F.col(c).alias(f"{c}{s}") for c in ("part", "n0", "n1", "l0", "l1"))) for s in ("_i", "_j"))
-    meet = (F.col("part_i") <= F.col("part_j")) & (F.greatest("n0_i", "n0_j") * percent <= F.least("n1_i", "n1_j") * 100)
-    same = (F.col("l0_i") == F.col("l1_i")) & (F.col("l0_i") == F.col("l0_j")) & (F.col("l0_j") == F.col("l1_j"))
-    tiles = i.join(j, "block").where(meet & ~same).select("block", "part_i", "part_j")
-    tile_id = F.xxhash64("block", "part_i", "part_j").alias("tile")
-    sides = tiles.select("block", tile_id, F.explode(F.when(F.col("part_i") == F.col("part_j"), F.array(F.struct(F.col("part_i").alias("part"), F.lit(-1).alias("side")))).otherwise(F.array(F.struct(F.col("part_i").alias("part"), F.lit(0).alias("side")), F.struct(F.col("part_j").alias("part"), F.lit(1).alias("side"))))).alias("s"))
-    tile_l = cut.join(sides.select("block", "tile", "s.part", "s.side"), ["block", "part"]).select("node", "block", "label", "tile", "side")
+    full = tile_s.unionByName(_large_tiles(rest.where(F.col("members") > BLOCK), percent)).join(held, "node")
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in rows.groupby("block", sort=True):
-            part = part.sort_values(["node", "text"])
-            sets_ = shingle_sets(pa.array(part["text"], pa.large_string()), k)
-            out += tile_links(part["node"].tolist(), part["label"].tolist(), sets_, part["side"].to_numpy(), percent)
+            part = part.sort_values(["node", "set"])
+            out += tile_links(part["node"].tolist(), part["label"].tolist(), [_set(x) for x in part["set"]], part["side"].to_numpy(), percent)
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    full = tile_s.unionByName(tile_l).join(texts, "node")
     late = full.groupBy("tile").applyInPandas(settle, "u long, v long")
 
     # rows that share a doc_id are one document

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import numbered, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3.0
@@ -58,15 +58,9 @@ def source_table(slim: DataFrame, weights: tuple[float, ...], most_times: float,
     """_source, source_size, target, blocks of every source, and the table's bytes. As `targets`, for any number of sources: ranks come from a
     sort over partitions, and each round of sharing the excess is one aggregation; one row a partition reaches the driver."""
     totals = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    placed = totals.orderBy(F.col("source").asc_nulls_last()).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    placed = stored(placed, "mix-sources")
-    begun, counts = 0, []
-    for part, n in sorted(tuple(x) for x in placed.groupBy("part").count().collect()):
-        counts.append((part, begun))
-        begun += n
-    begins = slim.sparkSession.createDataFrame(counts, "_part int, _begun long")
-    rank = (F.col("_begun") + F.col("at")) % len(weights)
-    weighed = placed.join(F.broadcast(begins), F.col("part") == F.col("_part")).withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank + 1).cast("int")))
+    rank = F.col("number") % len(weights)
+    placed = numbered(totals, [F.col("source").asc_nulls_last()], "mix-sources")
+    weighed = placed.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank + 1).cast("int")))
     weighed = stored(weighed.select("source", "size", "n", "weight"), "mix-weights")
     total, n_bytes = weighed.agg(F.sum("size"), F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 48)).first()
     rest, over, full = float(total or 0), 1.0, -1
