@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from oracle import spark_rows, sql_rows
 
 import corpus_pipeline
-from lodegraph.llm import crf, entries, jaccard, linededup, mixing, rotated, toxicity
+from lodegraph.llm import common, components, crf, entries, jaccard, linededup, mixing, rotated, toxicity
 from lodegraph.llm.common import words_of
 from lodegraph.llm.components import connected_components
 
@@ -37,9 +37,12 @@ def root_of(links, nodes):
     return low
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(components, "HOT_SHARE", 8)
     rng = np.random.default_rng(4)
-    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(k, k + 1) for k in range(100, 130)] + [(5, 5)]
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(k, k + 1) for k in range(100, 130)] + [(5, 5)] + [(200, k) for k in range(201, 240)]
     df = spark.createDataFrame([*pairs, (None, 3)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     used = {n for a, b in pairs if a != b for n in (a, b)}
@@ -276,9 +279,12 @@ def similar_by_hand(rows, k, percent):
     return sorted((str(i), len(x), str(low.get(i))) for i, x in sets)
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 256), (5, 80, 256), (1, 80, 4), (2, 50, 8)])
+@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 256), (5, 80, 256), (1, 80, 4), (2, 50, 8), (1, 30, 4), (3, 72, 2)])
 def test_jaccard(docs, monkeypatch, k, percent, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    if block < 256:
+        monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
+        monkeypatch.setattr(jaccard, "SMALL", 12)
     rng = np.random.default_rng(7)
     words = [f"w{n}" for n in range(300)]
     shared = rng.choice(words, 50).tolist()
@@ -298,7 +304,7 @@ def test_jaccard(docs, monkeypatch, k, percent, block):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.integers(1, 120), st.integers(0, 30), st.integers(0, 30), st.sampled_from([50, 80, 85, 95]), st.integers(0, 10**6))
+@given(st.integers(1, 120), st.integers(0, 30), st.integers(0, 30), st.sampled_from([20, 30, 50, 66, 70, 80, 85, 95]), st.integers(0, 10**6))
 def test_similar_sets_share_a_key(common, left, right, percent, seed):
     h = jaccard.mixed(np.random.default_rng(seed).integers(0, 2**63, common + left + right).astype(np.uint64))
     x, y = np.unique(h[: common + left]), np.unique(np.concatenate([h[:common], h[common + left :]]))
