@@ -2,8 +2,8 @@
 
 Distinct vectors are dealt to the cells of sampled pivots. A vector also visits every other cell that could hold one of its links
 (for unit vectors u, v in the cells of p, q with cos(u, v) >= t: cos(u, q) >= cos(u, p) - sqrt(2 - 2 t) * |p - q|), so
-no link is lost. In a tile of a cell each native vector has a code: the signs of its rotation, one bit for each dimension, and a
-stored correction factor, the inner product of the unit vector with its unit code. The inner product of a code and a
+no link is lost. Each vector has a stored code, the signs of its rotation, one bit for each dimension, and a
+stored correction factor, the inner product of the unit vector with its unit code. In a tile of a cell the inner product of a code and a
 rotated partner, over the factor, is an unbiased estimate of the cosine; its error is at most
 sqrt(1 - factor^2) / factor * sqrt(1 - code^2), so pairs whose upper bound is below the threshold are settled and all
 others are recomputed in double precision.
@@ -28,9 +28,9 @@ from .components import connected_components
 
 THRESHOLD = 0.9
 #: Vectors for each pivot, and pivots at most: they are all that reaches the driver.
-PER_PIVOT, MOST_PIVOTS = 8192, 4096
-#: Native or visiting vectors of a tile side.
-SIDE = 8192
+PER_PIVOT, MOST_PIVOTS = 16_384, 4096
+#: Native or visiting vectors of a tile side: what a vector is sent to grows with the vectors over this.
+SIDE = 16_384
 SEED = 20
 _SLACK = 1e-6
 
@@ -74,10 +74,9 @@ def interval(factor: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarr
     return np.cos(np.minimum(np.pi, own + most)), np.cos(np.maximum(0, own - most))
 
 
-def tile(x: np.ndarray, y: np.ndarray, turn: np.ndarray, threshold: float, within: bool, strip: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of x, row of y) with cosine >= threshold; within: y is x and each pair is found once, i < j."""
-    unit_x, unit_y = (v / np.sqrt((v * v).sum(1))[:, None] for v in (x, y))
-    bits, factor = codes(unit_x, turn)
+def tile(x: np.ndarray, bits: np.ndarray, factor: np.ndarray, y: np.ndarray, turn: np.ndarray, threshold: float, within: bool, strip: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of x, row of y) with cosine >= threshold, by the codes and factors of x; within: y is x and each pair is found once, i < j."""
+    unit_y = y / np.sqrt((y * y).sum(1))[:, None]
     low, high = (v.astype(np.float32)[:, None] for v in interval(factor, threshold))
     turned = np.ascontiguousarray((unit_y @ turn.T).astype(np.float32).T)
     rows, cols = [], []
@@ -100,6 +99,20 @@ def tile(x: np.ndarray, y: np.ndarray, turn: np.ndarray, threshold: float, withi
     return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(cols) if cols else np.zeros(0, int)
 
 
+def raw_vectors(v: np.ndarray) -> list[bytes]:
+    """Rows as 32-bit numbers if those hold them exactly, else as 64-bit ones."""
+    with np.errstate(over="ignore"):
+        short = v.astype("<f4")
+    exact = (short == v).all(1)
+    return [(short[k] if x else v[k].astype("<f8")).tobytes() for k, x in enumerate(exact.tolist())]
+
+
+def read_vectors(raw: list[bytes], dim: int) -> np.ndarray:
+    if all(len(x) == 4 * dim for x in raw):
+        return np.frombuffer(b"".join(raw), "<f4").reshape(-1, dim).astype(float)
+    return np.array([np.frombuffer(x, "<f4" if len(x) == 4 * dim else "<f8") for x in raw], float).reshape(-1, dim)
+
+
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest index that links reach, for each of n items."""
     low = np.arange(n)
@@ -122,7 +135,8 @@ def _pivots(nodes: DataFrame, count: int) -> np.ndarray:
 
 
 def _cells(nodes: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
-    """cell, native, and the node, for its own cell and each lower-numbered one that it may have links in."""
+    """cell, native, and the node with its code and factor, for its own cell and each lower-numbered one that it may have links in."""
+    turn = rotation(pivots.shape[1])
     reach = float(np.sqrt(2 - 2 * threshold))
     apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T)) * reach + _SLACK
 
@@ -139,11 +153,11 @@ def _cells(nodes: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
                 row = np.concatenate([np.arange(len(v)), r])
                 cell = np.concatenate([home, c])
                 native = np.concatenate([np.ones(len(v), bool), np.zeros(len(r), bool)])
-                raw = pa.array([x.tobytes() for x in v], pa.binary())
-                columns = [batch.column(0), batch.column(1), raw]
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(native), *(c.take(pa.array(row)) for c in columns)], ["cell", "native", "node", "copies", "vector"])
+                bits, factor = codes(v / np.sqrt((v * v).sum(1))[:, None], turn)
+                columns = [batch.column(0), batch.column(1), pa.array(raw_vectors(v), pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(factor)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(native), *(c.take(pa.array(row)) for c in columns)], ["cell", "native", "node", "copies", "vector", "code", "factor"])
 
-    return nodes.mapInArrow(deal, "cell long, native boolean, node long, copies long, vector binary")
+    return nodes.mapInArrow(deal, "cell long, native boolean, node long, copies long, vector binary, code binary, factor double")
 
 
 def _comparer(dim: int, threshold: float):
@@ -162,8 +176,9 @@ def _comparer(dim: int, threshold: float):
             left, right = block[block["at"] == i_], block[block["at"] == j_]
         if not len(left) or not len(right):
             return pd.DataFrame({"node": [], "other": [], "links": []}, dtype="int64")
-        x, y = (np.frombuffer(b"".join(s["vector"]), float).reshape(len(s), dim) for s in (left, right))
-        i, j = tile(x, y, turn, threshold, within=not visit and i_ == j_)
+        x, y = (read_vectors(s["vector"].tolist(), dim) for s in (left, right))
+        bits = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
+        i, j = tile(x, bits, left["factor"].to_numpy(), y, turn, threshold, within=not visit and i_ == j_)
         ids = np.concatenate([left["node"].to_numpy(), right["node"].to_numpy()])
         copies = np.concatenate([left["copies"].to_numpy(), right["copies"].to_numpy()])
         off = 0 if left is right else len(left)
@@ -201,7 +216,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
         calls = F.transform(F.sequence(F.lit(0), F.col("natives") - 1), lambda x: F.struct(x.alias("i"), F.col("at").alias("j"), F.lit(True).alias("visit")))
         placed = spot.withColumn("tile", F.explode(F.when(F.col("native"), F.concat(among, across)).otherwise(calls)))
 
-        parts.append(placed.select("cell", "tile.i", "tile.j", "tile.visit", "native", "at", "node", "copies", "vector").groupBy("cell", "i", "j", "visit").applyInPandas(_comparer(dim, threshold), schema))
+        parts.append(placed.select("cell", "tile.i", "tile.j", "tile.visit", "native", "at", "node", "copies", "vector", "code", "factor").groupBy("cell", "i", "j", "visit").applyInPandas(_comparer(dim, threshold), schema))
     found = parts[0] if parts else spark.createDataFrame([], schema)
     for part in parts[1:]:
         found = found.unionByName(part)
