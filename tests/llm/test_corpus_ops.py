@@ -126,13 +126,20 @@ def test_vectors(spark, monkeypatch, side):
     near = base[:20] + 0.15 * rng.standard_normal((20, 16))
     crowd = base[0] + 0.12 * rng.standard_normal((60, 16))
     rows = [(k, [float(x) for x in np.float32(v)]) for k, v in enumerate([*base, *near, *crowd, *base[:5], 3 * base[6]])]
+    rows += [(800 + k, (base[k] * (0.1 + k)).tolist()) for k in range(5)]  # not exact in 32 bits
     rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, [1.0, 2.0]), (905, [2.0, 4.0]), (906, []), (907, [float("inf")] * 16), (908, [-0.0] * 15 + [1.0]), (909, [0.0] * 15 + [1.0])]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, label int, node int")
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, label int, node int")
     got = sorted(tuple(r) for r in rotated.near_duplicates(df).collect())
     assert got == vectors_by_hand(rows, rotated.THRESHOLD)
     assert rotated.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_keep_their_precision():
+    v = np.array([[0.1, 0.2], [0.5, 0.25], [1e300, 1.0], [3.0, -4.0]])
+    raw = rotated.raw_vectors(v)
+    assert [len(x) for x in raw] == [16, 8, 16, 8] and (rotated.read_vectors(raw, 2) == v).all() and (rotated.read_vectors(raw[1:2], 2) == v[1:2]).all()
+
+
 def test_code_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 64))
