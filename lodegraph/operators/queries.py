@@ -69,30 +69,48 @@ def impact(files: DataFrame, symbols: DataFrame, edges: DataFrame, path: str, na
     direct = graph.callers(edges, symbols).join(seed.select("id"), "id").select(F.col("caller").alias("id"))
     named = lambda d: d.join(symbols, "id").join(where, "file_id", "left").orderBy(F.coalesce("path", F.lit("")), "ordinal", "id")
     top = named(ids).limit(TRANSITIVE).select("name", F.coalesce("path", F.lit("")).alias("path"))
-    lists = named(direct).agg(F.collect_list("name").alias("direct_callers")).crossJoin(
+    listed = named(direct).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("path", F.lit("")).alias("path"), "ordinal", "id", "name"))).alias("x"))
+    lists = listed.select(F.transform("x", lambda s: s["name"]).alias("direct_callers")).crossJoin(
         top.agg(F.collect_list("name").alias("dependents"), F.array_sort(F.collect_set(F.when(F.lower("path").contains("test"), F.col("path")))).alias("affected_test_files")))
     return seed.select("id", "symbol").join(counts, "id").crossJoin(lists)
 
 
-def context(files: DataFrame, symbols: DataFrame, edges: DataFrame, path: str, name: str, depth: int = 2) -> DataFrame:
-    """One row for a symbol: callers and callees up to 20, related types and variables up to 10, estimated tokens."""
-    seed = lookups.find_symbol(files, symbols, path, name)
-    one = seed.select("id")
-    around = graph.neighbors(edges, one, depth).select("id")
-    of = lambda pairs, c: pairs.join(one, "id").select(F.col(c).alias("id"))
-    up, down = of(graph.callers(edges, symbols), "caller"), of(graph.callees(edges, symbols), "callee")
+def contexts(files: DataFrame, symbols: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """For each seed (id): names of callers and callees up to 20, of types and variables within depth hops up to 10, estimated tokens.
+
+    All seeds go at once; only types and variables are followed on the last hop.
+    """
+    one = seeds.select("id").distinct()
+    of = lambda pairs, c, role: pairs.join(one, "id", "left_semi").select("id", F.col(c).alias("other"), F.lit(role).alias("role"))
+    up, down = of(graph.callers(edges, symbols), "caller", "callers"), of(graph.callees(edges, symbols), "callee", "callees")
+    rows = up.unionByName(down)
+    wanted = symbols.where(F.col("kind").isin("type", "variable")).select(F.col("id").alias("b"), F.concat("kind", F.lit("s")).alias("role"))
+    if depth > 0:
+        inner = graph.reach(edges, one, "both", depth - 1).select("source", "id") if depth > 1 else None
+        near = one.select(F.col("id").alias("source"), "id")
+        near = near.unionByName(inner) if inner is not None else near
+        step = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(edges.select("to_id", "from_id")).distinct().join(wanted, "b")
+        last = near.join(step, F.col("id") == F.col("a")).select(F.col("source").alias("id"), F.col("b").alias("other"), "role")
+        rows = rows.unionByName(last.where("id <> other").distinct())
+    most = F.element_at(F.create_map(*(F.lit(x) for x in ("callers", CALLERS, "callees", CALLEES, "types", TYPES, "variables", VARIABLES))), F.col("role"))
     where = files.select(F.col("id").alias("file_id"), "path")
+    about = symbols.select(F.col("id").alias("other"), "name", "ordinal", "file_id").join(where, "file_id", "left")
+    order = ["path", "ordinal", "other"]
+    rank = F.row_number().over(Window.partitionBy("id", "role").orderBy(*order))
+    top = rows.join(about, "other").withColumn("_rank", rank).where(F.col("_rank") <= max(CALLERS, CALLEES, TYPES, VARIABLES)).where(F.col("_rank") <= most)
+    listed = top.groupBy("id").agg(*(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("_rank", "name")))).alias(r) for r in ("callers", "callees", "types", "variables")))
+    linked = rows.where("role IN ('callers', 'callees')").groupBy("id").agg(F.count_distinct("other").alias("n"), F.count_if(F.col("role") == "callers").alias("n_callers"), F.count_if(F.col("role") == "callees").alias("n_callees"))
+    got = one.join(listed, "id", "left").join(linked, "id", "left")
+    z = lambda c: F.coalesce(c, F.lit(0))
+    names = [F.coalesce(F.transform(r, lambda x: x["name"]), F.expr("cast(array() as array<string>)")).alias(r) for r in ("callers", "callees", "types", "variables")]
+    return got.select("id", *names, z("n_callers").alias("n_callers"), z("n_callees").alias("n_callees"), (BASE_TOKENS + TOKENS_EACH * (1 + z("n"))).cast("bigint").alias("estimated_tokens"))
 
-    def names(ids: DataFrame, most: int, kind: str | None, alias: str) -> DataFrame:
-        found = ids.join(symbols, "id").join(where, "file_id", "left")
-        found = found.where(F.col("kind") == kind) if kind else found
-        return found.orderBy("path", "ordinal", "id").limit(most).agg(F.collect_list("name").alias(alias))
 
-    tokens = up.union(down).distinct().agg((F.lit(BASE_TOKENS) + TOKENS_EACH * (1 + F.count(F.lit(1)))).alias("estimated_tokens"))
-    out = seed.select(F.col("name").alias("symbol"), "kind", "signature", "docstring", "line_start", "line_end", "complexity_score")
-    for part in (names(up, CALLERS, None, "callers"), names(down, CALLEES, None, "callees"), names(around, TYPES, "type", "types"), names(around, VARIABLES, "variable", "variables"), tokens):
-        out = out.crossJoin(part)
-    return out
+def context(files: DataFrame, symbols: DataFrame, edges: DataFrame, path: str, name: str, depth: int = 2) -> DataFrame:
+    """One row for a symbol: what `contexts` gives, and the symbol's own attributes."""
+    seed = lookups.find_symbol(files, symbols, path, name)
+    own = seed.select("id", F.col("name").alias("symbol"), "kind", "signature", "docstring", "line_start", "line_end", "complexity_score")
+    return own.join(contexts(files, symbols, edges, seed.select("id"), depth).drop("n_callers", "n_callees"), "id").drop("id")
 
 
 def callers_of(files: DataFrame, symbols: DataFrame, edges: DataFrame, path: str, name: str) -> DataFrame:
@@ -128,32 +146,48 @@ def dependencies(files: DataFrame, symbols: DataFrame, path: str) -> DataFrame:
 
 
 def circular_files(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path) of files that depend on themselves through others: an extension."""
+    """(path) of files that depend on themselves through others: an extension.
+
+    Files without links in or out are on no cycle and are trimmed until none is left; then the smallest file that reaches a file forwards and the
+    smallest backwards are passed along. Where both agree, the file is on a cycle with that one, which is taken out with all that agree.
+    """
     of = symbols.select("id", "file_id").union(files.select("id", F.col("id").alias("file_id")))
     a, b = of.select(F.col("id").alias("from_id"), F.col("file_id").alias("f")), of.select(F.col("id").alias("to_id"), F.col("file_id").alias("t"))
-    links = edges.where("kind <> 'defines'").join(a, "from_id").join(b, "to_id").where("f <> t").select(F.col("f").alias("from_id"), F.col("t").alias("to_id")).distinct()
-    reached = graph.reach(links, links.select(F.col("from_id").alias("id")), "dependencies")
-    back = links.join(reached, (F.col("from_id") == F.col("id")) & (F.col("to_id") == F.col("source")), "left_semi").select(F.col("to_id").alias("id"))
-    return back.distinct().join(files, "id").select("path")
+    links = edges.where("kind <> 'defines'").join(a, "from_id").join(b, "to_id").where("f <> t").select(F.col("f").alias("a"), F.col("t").alias("b")).distinct()
+    return graph.on_cycles(links).join(files, "id").select("path")
+
+
+def dependents_of(files: DataFrame, symbols: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(path, dependent): for each file of seeds (id), the other files with a symbol that depends on one of its symbols."""
+    asked = seeds.select(F.col("id").alias("_file")).distinct()
+    own = symbols.select(F.col("file_id").alias("source"), "id").join(asked, F.col("source") == F.col("_file")).drop("_file")
+    ids = graph.reach(edges, own).select("source", "id")
+    found = ids.join(symbols.select("id", "file_id"), "id").select("source", "file_id").where("source <> file_id").distinct()
+    a, b = files.select(F.col("id").alias("source"), "path"), files.select(F.col("id").alias("file_id"), F.col("path").alias("dependent"))
+    return found.join(a, "source").join(b, "file_id").select("path", "dependent")
 
 
 def dependents(files: DataFrame, symbols: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     """(path) of the other files with a symbol that depends on one of this file's."""
-    own = lookups.file_by_path(files, path).select(F.col("id").alias("file_id"))
-    seeds = symbols.join(own, "file_id", "left_semi").select("id")
-    ids = graph.reach(edges, seeds).select("id").distinct()
-    found = ids.join(symbols.select("id", "file_id"), "id").select("file_id").distinct().join(own, "file_id", "left_anti")
-    return found.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("path").orderBy("path")
+    return dependents_of(files, symbols, edges, lookups.file_by_path(files, path)).select(F.col("dependent").alias("path")).orderBy("path")
+
+
+def flows(symbols: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, role, other, name, pos, on_path) for each seed (id): sources are callers, sinks callees, up to 20 each in the order of (ordinal, id);
+    the first five of each make a path with the symbol. Each task keeps only the first 20 of a hub before they are dealt by seed."""
+    one = seeds.select("id").distinct()
+    order = Window.partitionBy("id", "role").orderBy("ordinal", "other")
+    up = graph.callers(edges, symbols).select("id", F.col("caller").alias("other"), F.lit("source").alias("role"))
+    down = graph.callees(edges, symbols).select("id", F.col("callee").alias("other"), F.lit("sink").alias("role"))
+    both = up.unionByName(down).join(one, "id", "left_semi").join(symbols.select(F.col("id").alias("other"), "name", "ordinal"), "other")
+    ranked = both.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= max(CALLERS, CALLEES))
+    kept = ranked.where(F.col("pos") <= F.when(F.col("role") == "source", CALLERS).otherwise(CALLEES))
+    return kept.select("id", "role", "other", "name", "pos", (F.col("pos") <= FLOW_PATHS).alias("on_path"))
 
 
 def data_flow(files: DataFrame, symbols: DataFrame, edges: DataFrame, path: str, name: str) -> DataFrame:
-    """(role, name, pos): sources are callers, sinks callees, up to 20 each; the first five of each make a path with the symbol."""
-    order = Window.orderBy("ordinal", "id")
-    rows = None
-    for role, found, most in (("source", callers_of(files, symbols, edges, path, name), CALLERS), ("sink", callees_of(files, symbols, edges, path, name), CALLEES)):
-        part = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most).select(F.lit(role).alias("role"), "name", "pos", (F.col("pos") <= FLOW_PATHS).alias("on_path"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    """(role, name, pos, on_path) of one symbol, as `flows` gives them."""
+    return flows(symbols, edges, lookups.find_symbol(files, symbols, path, name)).select("role", "name", "pos", "on_path")
 
 
 def module_summary(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -178,7 +212,7 @@ def module_summary(files: DataFrame, symbols: DataFrame) -> DataFrame:
     given = F.array_join(n("functions", NAMES), ", ")
     said = F.concat_ws("; ", F.when(defined != "", F.concat(F.lit("defines "), defined)), F.when(given != "", F.concat(F.lit("provides "), given)))
     own = stem(F.col("path"))
-    purpose = F.when(F.coalesce(said, F.lit("")) == "", F.concat(F.lit("Module "), own, F.lit("."))).otherwise(F.concat(F.lit("Module "), own, F.lit(": "), said, F.lit(".")))
+    purpose = F.when(F.coalesce(said, F.lit("")) == "", F.concat(F.lit("Module "), own, F.lit(": source module."))).otherwise(F.concat(F.lit("Module "), own, F.lit(": "), said, F.lit(".")))
     tests = _test_files(files)
     out = files.join(agg, F.col("id") == F.col("file_id"), "left").join(tests, "path", "left")
     none = F.expr("cast(array() as array<string>)")

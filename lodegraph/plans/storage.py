@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared folder and read again: cuts lineage and outlives lost executors. Unlike a checkpoint, it is computed once."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
