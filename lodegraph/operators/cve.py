@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import splitlines, stripped
+
 # Severities in ascending order, and how many ids are shown.
 ORDER = ("UNKNOWN", "PASS", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 MOST_IDS = 10
@@ -12,10 +14,10 @@ MOST_IDS = 10
 
 def requirements(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """package, from requirement files: blank lines, comments, options and links are left out; the name ends at [ or a version mark."""
-    line = F.trim(F.col("line"))
-    rows = texts.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select(line.alias("line"))
+    line = stripped(F.col("line"))
+    rows = texts.select(F.explode(splitlines(F.col(text_col))).alias("line")).select(line.alias("line"))
     kept = rows.where((F.col("line") != "") & ~F.col("line").rlike("^[#-]") & ~F.col("line").contains("://"))
-    name = F.trim(F.regexp_extract("line", r"^(.*?)(\[|>=|<=|==|!=|~=|$)", 1))
+    name = stripped(F.regexp_extract("line", r"^(.*?)(\[|>=|<=|==|!=|~=|$)", 1))
     return kept.select(name.alias("package")).where("package <> ''")
 
 

@@ -11,17 +11,30 @@ from .rules import RULES, Rule
 _RANK = {"INFO": 0, "WARN": 1, "BLOCK": 2}
 
 
+def _may_match(text: Column, rules: list[Rule]) -> Column:
+    """Whether a text holds a piece that some rule needs: a plain substring test. Rules that name no piece are always tried."""
+    if any(not r.needs for r in rules):
+        return F.lit(True)
+    found = F.lit(False)
+    for piece in sorted({x for r in rules for x in r.needs}):
+        found = found | F.contains(text, F.lit(piece))
+    return found
+
+
 def scan(files: DataFrame, rules: tuple[Rule, ...] = RULES, detectors: tuple[str, ...] | None = None, path_col: str = "file_path", text_col: str = "content") -> DataFrame:
     """One finding for each line and rule that matches, however often. A null text has no lines.
 
-    A file is split into lines only if some rule matches somewhere in it, and a line is looked at again only if it matches: each pattern is a
-    literal, compiled once, and no line is paired with a rule that it doesn't meet.
+    Rules name pieces of text of which every match holds one. A file is split into lines only if it holds a piece of some rule, a line goes on
+    only if it does, and a rule's pattern is tried only on lines with a piece of its own: each pattern is a literal, compiled
+    once, and no line is paired with a rule that it doesn't meet.
     """
     used = [(k, r) for k, r in enumerate(rules) if detectors is None or r.detector in detectors]
-    lines = files.select(F.col(path_col).alias("file_path"), F.posexplode(splitlines(F.col(text_col))).alias("at", "line"))
-    hits = F.filter(F.array(*(F.when(F.col("line").rlike("(?U)" + r.pattern), F.lit(k)) for k, r in used)), lambda x: x.isNotNull())
-    found = lines.withColumn("hits", hits).where(F.size("hits") > 0)
-    rows = found.select("file_path", (F.col("at") + 1).alias("line_number"), "line", F.explode("hits").alias("rule"))
+    some = [r for _, r in used]
+    held = files.select(F.col(path_col).alias("file_path"), F.col(text_col).alias("_text")).where(_may_match(F.col("_text"), some))
+    lines = held.select("file_path", F.posexplode(splitlines(F.col("_text"))).alias("at", "line")).where(_may_match(F.col("line"), some))
+    tried = [F.when(_may_match(F.col("line"), [r]) & F.col("line").rlike("(?U)" + r.pattern), F.lit(k)).otherwise(-1) for k, r in used]
+    # an outer explode, since the filter that the planner infers for an inner one would try all patterns twice
+    rows = lines.select("file_path", (F.col("at") + 1).alias("line_number"), "line", F.explode_outer(F.array_remove(F.array(*tried), -1) if tried else F.array().cast("array<int>")).alias("rule")).where("rule is not null")
     texts = {c: F.element_at(F.create_map(*(x for k, r in used for x in (F.lit(k), F.lit(getattr(r, c))))), F.col("rule")) for c in ("severity", "description", "fix_suggestion", "detector")}
     return rows.select("file_path", "line_number", texts["severity"].alias("severity"), texts["detector"].alias("category"), texts["description"].alias("description"), texts["fix_suggestion"].alias("fix_suggestion"), texts["detector"].alias("detector"), "rule", "line")
 
