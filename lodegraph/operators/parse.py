@@ -50,7 +50,7 @@ class Registry:
 
 
 DEFAULT = Registry()
-_SYMBOL = "id: string, name: string, kind: string, line_start: int, line_end: int, signature: string, docstring: string, is_async: boolean, is_public: boolean, complexity_score: double, ordinal: int"
+_SYMBOL = "id: string, name: string, kind: string, line_start: int, line_end: int, signature: string, docstring: string, is_async: boolean, is_public: boolean, complexity_score: double, extra: string, ordinal: int"
 _EDGE = "kind: string, from_id: string, to_id: string, line_number: int"
 _REF = "from_id: string, ref_name: string, kind: string, line_number: int"
 SCHEMA = f"path string, language string, error string, symbols array<struct<{_SYMBOL}>>, edges array<struct<{_EDGE}>>, refs array<struct<{_REF}>>"

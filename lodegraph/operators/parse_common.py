@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass, field
 
 
@@ -30,9 +31,9 @@ class Parsed:
     names: dict[str, str] = field(default_factory=dict)
     error: str | None = None
 
-    def symbol(self, name: str, kind: str, start: int, end: int, *, signature: str | None = None, doc: str | None = None, is_async: bool = False, public: bool = True, complexity: float = 0.0, local: bool = True) -> str:
+    def symbol(self, name: str, kind: str, start: int, end: int, *, signature: str | None = None, doc: str | None = None, is_async: bool = False, public: bool = True, complexity: float = 0.0, local: bool = True, extra: dict | None = None) -> str:
         made = symbol_id(self.path, name, kind)
-        self.symbols.append({"id": made, "name": name, "kind": kind, "line_start": start, "line_end": end, "signature": signature, "docstring": doc, "is_async": is_async, "is_public": public, "complexity_score": float(complexity)})
+        self.symbols.append({"id": made, "name": name, "kind": kind, "line_start": start, "line_end": end, "signature": signature, "docstring": doc, "is_async": is_async, "is_public": public, "complexity_score": float(complexity), "extra": json.dumps(extra, sort_keys=True) if extra else None})
         if local:
             self.names[name] = made
         return made

@@ -133,11 +133,11 @@ class _Reader:
                 kind = _TYPE_KINDS.get(self.t[t].text, "qualified_type" if self.is_(t + 1, ".") else "type_identifier") if t < b else "unknown"
                 if kind == "slice_type" and not self.is_(t + 1, "]"):
                     kind = "array_type"
-                made = self.out.symbol(name, "class" if kind in ("struct_type", "interface_type") else "type", line, self.t[min(last, len(self.t) - 1)].line, signature=f"type {name} {kind}", public=name[:1].isupper())
+                made = self.out.symbol(name, "class" if kind in ("struct_type", "interface_type") else "type", line, self.t[min(last, len(self.t) - 1)].line, signature=f"type {name} {kind}", public=name[:1].isupper(), extra={"go_type_kind": kind})
                 self.out.edges.append(("defines", self.root, made, line))
             elif what in ("var", "const") and self.word(a):
                 name = self.t[a].text
-                self.out.symbol(name, "variable", self.t[a].line, self.t[b - 1].line + self.t[b - 1].text.count("\n"), public=name[:1].isupper())
+                self.out.symbol(name, "variable", self.t[a].line, self.t[b - 1].line + self.t[b - 1].text.count("\n"), public=name[:1].isupper(), extra={"is_constant": what == "const"})
         return end
 
     def run(self) -> Parsed:

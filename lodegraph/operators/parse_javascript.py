@@ -199,7 +199,7 @@ class _Reader:
         return end
 
     def variables(self, k: int, start: int) -> int:
-        line, end = self.t[start].line, self.until_end(k)
+        line, end, extra = self.t[start].line, self.until_end(k), {"is_constant": self.is_(k, "const")}
         k += 1
         while k < end:
             if not self.word(k):
@@ -215,7 +215,7 @@ class _Reader:
             while stop < end and not (self.is_(stop, ",") and stop >= k):
                 stop = self.close[stop] + 1 if stop in self.close else stop + 1
             if value is None or not self.arrow(name, value, stop, line, end):
-                self.out.symbol(name, "variable", line, self.end_line(end - 1), public=not name.startswith("_"))
+                self.out.symbol(name, "variable", line, self.end_line(end - 1), public=not name.startswith("_"), extra=extra)
             k = stop + 1
         return end
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import itertools
 import re
+import tokenize
 
 from .parse_common import Parsed, file_id
 
@@ -13,11 +15,19 @@ _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 class _Reader:
     def __init__(self, path: str, text: str):
-        self.out, self.text, self.root = Parsed(path, "python"), text, file_id(path)
-        self.lines = text.split("\n")
+        self.out, self.root = Parsed(path, "python"), file_id(path)
+        #: Lines with their ends, as the syntax tree counts them.
+        self.lines = re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)
+
+    def cut(self, line: int, column: int, end_line: int, end_column: int) -> str:
+        """What stands between two places. Columns count UTF-8 bytes."""
+        part = [x.encode("utf-8", "surrogatepass") for x in self.lines[line - 1 : end_line]]
+        part[-1] = part[-1][:end_column]
+        part[0] = part[0][column:]
+        return b"".join(part).decode("utf-8", "surrogatepass")
 
     def source(self, node: ast.AST) -> str:
-        return ast.get_source_segment(self.text, node) or ""
+        return self.cut(node.lineno, node.col_offset, node.end_lineno, node.end_col_offset)
 
     def docstring(self, body: list[ast.stmt]) -> str | None:
         """The raw literal without its quotes; not dedented."""
@@ -53,22 +63,31 @@ class _Reader:
         return found
 
     def parameters(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
-        """The parameter list as written."""
-        head = re.compile(r"def\s+\w+\s*(?:\[)?").search(self.source(node))
-        text = self.source(node)
-        at = text.find("(", head.end() - 1 if head else 0)
-        if node.type_params and head:  # past the type parameters
-            deep, at = 0, text.find("[")
-            for k in range(at, len(text)):
-                deep += (text[k] == "[") - (text[k] == "]")
-                if not deep:
-                    at = text.find("(", k)
-                    break
-        deep = 0
-        for k in range(at, len(text)):
-            deep += (text[k] in "([{") - (text[k] in ")]}")
-            if not deep:
-                return text[at : k + 1]
+        """The parameter list as written: from the first round bracket outside of type parameters to the one that closes it. The tokenizer
+        tells brackets from strings and comments; it reads no further than the list."""
+        first = self.cut(node.lineno, node.col_offset, node.lineno, len(self.lines[node.lineno - 1]) * 4)
+        rows = itertools.chain([first], itertools.islice(self.lines, node.lineno, node.end_lineno))
+        deep, begun, read = 0, None, []
+
+        def line() -> str:
+            read.append(next(rows, ""))
+            return read[-1]
+
+        for token in tokenize.generate_tokens(line):
+            if token.type != tokenize.OP:
+                continue
+            if token.string in "([{":
+                if token.string == "(" and not deep and begun is None:
+                    begun = token.start
+                deep += 1
+            elif token.string in ")]}":
+                deep -= 1
+                if not deep and begun is not None:
+                    (r0, c0), (r1, c1) = begun, token.end
+                    part = read[r0 - 1 : r1]
+                    part[-1] = part[-1][:c1]
+                    part[0] = part[0][c0:]
+                    return "".join(part)
         return "()"
 
     def function(self, node, owner: tuple[str, str] | None) -> None:
@@ -81,11 +100,11 @@ class _Reader:
         self.out.refs += [(made, name, "calls", line) for name, line in self.calls(node.body)]
 
     def klass(self, node: ast.ClassDef) -> None:
-        made = self.out.symbol(node.name, "class", node.lineno, node.end_lineno, doc=self.docstring(node.body), public=not node.name.startswith("_"))
+        bases = [self.source(base) for base in node.bases if isinstance(base, (ast.Name, ast.Attribute))]
+        extra = {"base_classes": bases, "is_abstract": not {"ABC", "ABCMeta"}.isdisjoint(bases)}
+        made = self.out.symbol(node.name, "class", node.lineno, node.end_lineno, doc=self.docstring(node.body), public=not node.name.startswith("_"), extra=extra)
         self.out.edges.append(("defines", self.root, made, node.lineno))
-        for base in node.bases:
-            if isinstance(base, (ast.Name, ast.Attribute)):
-                self.out.refs.append((made, self.source(base), "inherits", node.lineno))
+        self.out.refs += [(made, base, "inherits", node.lineno) for base in bases]
         for stmt in node.body:
             self.statement(stmt, (made, node.name))
 
@@ -106,15 +125,16 @@ class _Reader:
                 name = f"{'.' * node.level}{node.module or ''}.*" if a.name == "*" else a.asname or a.name
                 out.symbol(name, "import", node.lineno, node.lineno)
         elif isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
-            self.variable(node, node.targets[0].id, None)
+            self.variable(node, node.targets[0].id, None, owner)
         elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
-            self.variable(node, node.target.id, self.source(node.annotation))
+            self.variable(node, node.target.id, self.source(node.annotation), owner)
         elif isinstance(node, ast.TypeAlias):
             out.symbol(node.name.id, "type", node.lineno, node.end_lineno, signature=self.source(node), public=not node.name.id.startswith("_"))
 
-    def variable(self, node: ast.stmt, name: str, annotation: str | None) -> None:
+    def variable(self, node: ast.stmt, name: str, annotation: str | None, owner: tuple[str, str] | None) -> None:
         if not (name.startswith("__") and name.endswith("__")):
-            self.out.symbol(name, "variable", node.lineno, node.end_lineno, signature=annotation, public=not name.startswith("_"))
+            extra = {"scope": "class" if owner else "module", "is_constant": name.isupper()}
+            self.out.symbol(name, "variable", node.lineno, node.end_lineno, signature=annotation, public=not name.startswith("_"), extra=extra)
 
 
 def _chunks(text: str) -> list[str]:
