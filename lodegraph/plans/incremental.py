@@ -17,11 +17,14 @@ from .storage import cut
 
 @dataclass
 class IndexResult:
+    """errors: the first ones; all n_errors are in the stored table `errors`."""
+
     file_count: int
     symbol_count: int
     edge_count: int
     errors: list[str]
     seconds: float
+    n_errors: int = 0
 
 
 @dataclass
@@ -42,16 +45,17 @@ def classify_changes(old: DataFrame, new: DataFrame, path: str = "path", checksu
     return a.join(b, F.col("_old") == F.col("_new"), "full_outer").select(F.coalesce("_new", "_old").alias("path"), change.alias("change"))
 
 
-def index(store: Store, files: DataFrame, registry: P.Registry = P.DEFAULT, most_errors: int = 1000) -> IndexResult:
+def index(store: Store, files: DataFrame, registry: P.Registry = P.DEFAULT, shown_errors: int = 1000) -> IndexResult:
     """Index a tree (path, content, last_modified) into a fresh version. Rows of files that are gone are dropped, and so are old symbols of changed ones."""
     begun = time.time()
     parsed = cut(P.parse_files(files, registry))
     f, s, e, r = P.files_of(parsed), P.symbols_of(parsed).drop("path"), P.edges_of(parsed), P.refs_of(parsed)
     edges = e.unionByName(resolve_global(r, s, f)).dropDuplicates(["id"])
-    store.write({"files": f, "symbols": s, "edges": edges, "refs": r})
+    store.write({"files": f, "symbols": s, "edges": edges, "refs": r, "errors": parsed.where("error IS NOT NULL").select("path", "error")})
     got = index_totals(stats(store.read("files"), store.read("symbols"), store.read("edges"))).first()
-    errors = [x["error"] for x in parsed.where("error IS NOT NULL").select("error").orderBy("error").limit(most_errors).collect()]
-    return IndexResult(got["file_count"], got["symbol_count"], got["edge_count"], errors, time.time() - begun)
+    broken = store.read("errors")
+    errors = [x["error"] for x in broken.orderBy("error").limit(shown_errors).collect()]
+    return IndexResult(got["file_count"], got["symbol_count"], got["edge_count"], errors, time.time() - begun, broken.count())
 
 
 def update(store: Store, files: DataFrame, removed: DataFrame | None = None, registry: P.Registry = P.DEFAULT, resolve_all: bool = False) -> UpdateResult:
@@ -85,5 +89,6 @@ def update(store: Store, files: DataFrame, removed: DataFrame | None = None, reg
     counts["removed"] = gone.count()
     result = UpdateResult(counts, new_s.count(), old_s.join(out_ids, "file_id", "left_semi").count(), made.count())
     if counts.get("added") or counts.get("modified") or counts["removed"] or resolve_all:
-        store.write({"files": all_f, "symbols": all_s, "edges": kept_e.select(*made.columns).unionByName(made), "refs": all_r})
+        errors = store.read("errors").join(out, "path", "left_anti").unionByName(parsed.where("error IS NOT NULL").select("path", "error"))
+        store.write({"files": all_f, "symbols": all_s, "edges": kept_e.select(*made.columns).unionByName(made), "refs": all_r, "errors": errors})
     return result

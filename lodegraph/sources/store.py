@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,14 @@ from pyspark.sql import types as T
 from ..schema import KEYS, TABLES
 
 
+#: Pointers of old versions that stay for readers.
+KEPT = 50
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer made the version that this one was to make."""
+
+
 def store_path(root: str, project: str) -> str:
     return f"{root.rstrip('/')}/{hashlib.sha256(os.path.realpath(project).encode()).hexdigest()[:16]}"
 
@@ -29,14 +40,41 @@ class Store:
     def schema(table: str) -> T.StructType:
         return TABLES[table]
 
-    def _pointer(self) -> dict[str, int]:
-        rows = self._try(f"{self.path}/current", "table string, version int, at int")
-        return {r["table"]: r["version"] for r in rows.where(F.col("at") == rows.agg(F.max("at")).first()[0]).collect()} if rows is not None and not rows.isEmpty() else {}
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _pointer(self) -> tuple[int, dict[str, str]]:
+        """The newest version, -1 if there is none, and the folder of each table."""
+        fs, p = self._fs(f"{self.path}/current")
+        names = sorted((str(x.getPath().getName()) for x in fs.listStatus(p)), reverse=True) if fs.exists(p) else []
+        for name in names:
+            stream = fs.open(self._fs(f"{self.path}/current/{name}")[1])
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if text.endswith("}"):  # else its writer hasn't finished: the one before holds
+                return int(name), json.loads(text)
+        return -1, {}
+
+    def _commit(self, version: int, tables: dict[str, str]) -> None:
+        """The pointer of a version is made by one writer only: creation fails where it exists. Pointers long out of date are removed."""
+        fs, p = self._fs(f"{self.path}/current/{version:012d}")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                raise ConcurrentWrite(f"version {version} was written by another; read again and repeat") from e
+            raise
+        out.write(json.dumps(tables, sort_keys=True).encode())
+        out.close()
+        old, p = self._fs(f"{self.path}/current/{version - KEPT:012d}")
+        if version >= KEPT and old.exists(p):
+            old.delete(p, False)
 
     def _try(self, path: str, schema) -> DataFrame | None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, p = self._fs(path)
         return self.spark.read.schema(schema).parquet(path) if fs.exists(p) else None
 
     def read(self, table: str) -> DataFrame:
@@ -44,33 +82,30 @@ class Store:
         if table == "events":
             got = self._try(f"{self.path}/events", TABLES[table])
         else:
-            version = self._pointer().get(table)
-            got = self._try(f"{self.path}/v{version}/{table}", TABLES[table]) if version is not None else None
+            at = self._pointer()[1].get(table)
+            got = self._try(f"{self.path}/{at}/{table}", TABLES[table]) if at is not None else None
         return got if got is not None else self.spark.createDataFrame([], TABLES[table])
 
     def write(self, tables: dict[str, DataFrame]) -> int:
-        """New snapshots of some tables, visible together."""
-        now = self._pointer()
-        version = max(now.values(), default=-1) + 1
+        """New snapshots of some tables, visible together. Fails with ConcurrentWrite, leaving no trace but unused files, if another writer was first."""
+        version, now = self._pointer()
+        at = f"v{version + 1}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             columns = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
-            df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
-        after = now | dict.fromkeys(tables, version)
-        rows = [(t, v, version) for t, v in sorted(after.items())]
-        self.spark.createDataFrame(rows, "table string, version int, at int").coalesce(1).write.mode("append").parquet(f"{self.path}/current")
-        return version
+            df.select(*columns).write.parquet(f"{self.path}/{at}/{name}")
+        self._commit(version + 1, now | dict.fromkeys(tables, at))
+        return version + 1
 
     def append(self, table: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.path}/{table}")
 
     def upsert(self, table: str, rows: DataFrame, keep_first: tuple[str, ...] = ()) -> None:
-        """Rows by key; of repeated keys in the batch the last by ordinal (if there is one) wins. keep_first: columns that an existing row keeps."""
+        """Rows by key; of repeated keys in the batch the last by ordinal (if there is one; null is before all) wins. keep_first: columns that an existing row keeps."""
         key, old = KEYS[table], self.read(table)
-        new = rows
+        rows = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table].fields))
+        new = rows.dropDuplicates([key])
         if "ordinal" in rows.columns:
-            last = rows.groupBy(key).agg(F.max("ordinal").alias("ordinal"))
-            new = rows.join(last, [key, "ordinal"], "left_semi")
-        new = new.dropDuplicates([key])
+            new = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.coalesce(F.col("ordinal").cast("long"), F.lit(-(2**40)))).alias("_row")).select("_row.*")
         if keep_first:
             had = old.select(key, *(F.col(c).alias(f"_{c}") for c in keep_first))
             new = new.join(had, key, "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in keep_first else F.col(c) for c in new.columns))
