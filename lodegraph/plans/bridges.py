@@ -26,7 +26,7 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def star_edges(spark: SparkSession, sf_dir: str, items: bool = True) -> DataFrame:
+def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id-less edges (kind, from_id, to_id, line_number), the dependent first."""
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
 
@@ -37,8 +37,7 @@ def star_edges(spark: SparkSession, sf_dir: str, items: bool = True) -> DataFram
         of("nation", "uses", node("nation", "n_nationkey"), node("region", "n_regionkey")), of("customer", "uses", node("customer", "c_custkey"), node("nation", "c_nationkey")),
         of("supplier", "uses", node("supplier", "s_suppkey"), node("nation", "s_nationkey")), of("orders", "calls", node("order", "o_orderkey"), node("customer", "o_custkey")),
     ]
-    if items:
-        parts += [of("lineitem", "calls", node("order", "l_orderkey"), node("part", "l_partkey"), F.col("l_linenumber")), of("lineitem", "calls", node("order", "l_orderkey"), node("supplier", "l_suppkey"), F.col("l_linenumber"))]
+    parts += [of("lineitem", "calls", node("order", "l_orderkey"), node("part", "l_partkey"), F.col("l_linenumber")), of("lineitem", "calls", node("order", "l_orderkey"), node("supplier", "l_suppkey"), F.col("l_linenumber"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -52,15 +51,26 @@ STAR_NODES_SQL = """star_nodes AS (
     SELECT 'supplier:' || s_suppkey, 'supplier', s_name, 'file:' || s_nationkey FROM supplier UNION ALL
     SELECT 'part:' || p_partkey, 'part', p_name, 'file:' || p_brand FROM part UNION ALL
     SELECT 'order:' || o_orderkey, 'order', o_orderstatus, 'file:' || o_orderstatus FROM orders)"""
-_SMALL_EDGES = """
+STAR_EDGES_SQL = """star_edges AS (
     SELECT 'uses' AS kind, 'nation:' || n_nationkey AS from_id, 'region:' || n_regionkey AS to_id, CAST(NULL AS INTEGER) AS line_number FROM nation UNION ALL
     SELECT 'uses', 'customer:' || c_custkey, 'nation:' || c_nationkey, NULL FROM customer UNION ALL
     SELECT 'uses', 'supplier:' || s_suppkey, 'nation:' || s_nationkey, NULL FROM supplier UNION ALL
-    SELECT 'calls', 'order:' || o_orderkey, 'customer:' || o_custkey, NULL FROM orders"""
-STAR_EDGES_SQL = f"""star_edges AS ({_SMALL_EDGES} UNION ALL
+    SELECT 'calls', 'order:' || o_orderkey, 'customer:' || o_custkey, NULL FROM orders UNION ALL
     SELECT 'calls', 'order:' || l_orderkey, 'part:' || l_partkey, l_linenumber FROM lineitem UNION ALL
     SELECT 'calls', 'order:' || l_orderkey, 'supplier:' || l_suppkey, l_linenumber FROM lineitem)"""
-STAR_SMALL_SQL = f"star_edges AS ({_SMALL_EDGES})"
+
+
+def star_symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The star nodes as symbols with their files: nations are types and regions variables; the ordinal is the number in the id."""
+    nodes = star_nodes(spark, sf_dir)
+    kind = F.when(F.col("kind") == "nation", "type").when(F.col("kind") == "region", "variable").otherwise("function")
+    symbols = nodes.select("id", "file_id", "name", kind.alias("kind"), F.split("id", ":")[1].cast("int").alias("ordinal"))
+    files = nodes.select(F.col("file_id").alias("id"), F.concat(F.lit("src/"), F.substring("file_id", 6, 1000)).alias("path")).distinct()
+    return files, symbols
+
+
+STAR_SYMBOLS_SQL = """star_symbols AS (SELECT id, file_id, name, CASE kind WHEN 'nation' THEN 'type' WHEN 'region' THEN 'variable' ELSE 'function' END AS kind,
+    CAST(split_part(id, ':', 2) AS INTEGER) AS ordinal, 'src/' || substr(file_id, 6) AS path FROM star_nodes)"""
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from functools import partial
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import cve, graph, lookups, queries, scan, vector
+from ..operators import cve, graph, lookups, parse, queries, scan, vector
 from ..operators.rules import RULES
+from ..sources.store import Store
 from . import bridges as b
+from . import incremental
 from .incremental import classify_changes
+from .samples import EXPECTED, SOURCES
 from .session import journal_context, undo_candidates
+from .storage import shared_dir
 
 _BIG = lambda c: F.col(c).cast("bigint")
 
@@ -32,9 +36,9 @@ PROBES = (
 )
 
 
-def impact_severity(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
+def impact_severity(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: for every region, nation and customer, what depends on it directly and in the end, and how severe a change is."""
-    nodes, edges = b.star_nodes(spark, sf), b.star_edges(spark, sf, items=items)
+    nodes, edges = b.star_nodes(spark, sf), b.star_edges(spark, sf)
     seeds = nodes.where(F.col("kind").isin("region", "nation", "customer")).select("id", (F.col("kind") != "customer").alias("is_public"))
     found = queries.impact_counts(nodes, edges, seeds, kind=None)
     return found.select(F.split("id", ":")[0].alias("kind"), F.split("id", ":")[1].cast("bigint").alias("key"), _BIG("direct").alias("direct"), _BIG("surface").alias("surface"), "severity")
@@ -43,7 +47,7 @@ def impact_severity(spark: SparkSession, sf: str, items: bool = False) -> DataFr
 _CLOSURE = """WITH RECURSIVE {nodes}, {edges}, e AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM star_edges),
     walk AS (SELECT id AS source, id FROM star_nodes WHERE {seeds} UNION SELECT walk.source, {there} FROM walk JOIN e ON walk.id = {here})"""
 _IMPACT_SQL = (
-    _CLOSURE.format(nodes=b.STAR_NODES_SQL, edges=b.STAR_SMALL_SQL, seeds="kind IN ('region', 'nation', 'customer')", there="e.from_id", here="e.to_id")
+    _CLOSURE.format(nodes=b.STAR_NODES_SQL, edges=b.STAR_EDGES_SQL, seeds="kind IN ('region', 'nation', 'customer')", there="e.from_id", here="e.to_id")
     + """, s AS (SELECT source, count(*) - 1 AS surface FROM walk GROUP BY source),
     d AS (SELECT to_id, count(DISTINCT from_id) AS direct FROM star_edges GROUP BY to_id)
     SELECT kind, CAST(split_part(source, ':', 2) AS BIGINT) AS key, coalesce(direct, 0) AS direct, surface,
@@ -54,21 +58,19 @@ _IMPACT_SQL = (
 
 def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = b.star_nodes(spark, sf), b.star_edges(spark, sf)
-    kinds = nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("node_"), "kind").alias("what"), "n")
-    ekinds = edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("edge_"), "kind").alias("what"), "n")
-    return kinds.unionByName(ekinds)
+    return graph.kind_counts(nodes, edges)
 
 
-def index_stats(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
     """The statistics operator over parts as symbols and brands as files."""
     files = b.document_files(spark, sf).select(F.col("file_path").alias("id"), "language", F.lit(0.0).alias("indexed_at"))
     p = b.read(spark, sf, "part")
     kind = F.element_at(F.array(*(F.lit(x) for x in ("function", "class", "variable", "import", "type"))), (F.pmod("p_partkey", F.lit(5)) + 1).cast("int"))
     symbols = p.select(F.col("p_brand").alias("file_id"), kind.alias("kind"))
-    edges = b.star_edges(spark, sf, items=items)
+    edges = b.star_edges(spark, sf)
     got = queries.stats(files, symbols, edges)
     ints = ("file_count", "function_count", "class_count", "variable_count", "import_count", "edge_count")
-    return got.select(*(_BIG(c).alias(c) for c in ints), F.array_join("languages", ",").alias("languages"), (F.col("coverage_percent") > 0).alias("covered"))
+    return got.select(*(_BIG(c).alias(c) for c in ints), F.array_join("languages", ",").alias("languages"), "coverage_percent")
 
 
 def callers(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,9 +86,9 @@ def edges_from_kind(spark: SparkSession, sf: str) -> DataFrame:
     return graph.edges_of(b.star_edges(spark, sf), ids, "from_id", "uses").select("kind", "from_id", "to_id")
 
 
-def neighbors_k2(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
+def neighbors_k2(spark: SparkSession, sf: str) -> DataFrame:
     seeds = spark.createDataFrame([("nation:0",), ("nation:7",)], "id string")
-    return graph.neighbors(b.star_edges(spark, sf, items=items), seeds, 2).select("source", "id")
+    return graph.neighbors(b.star_edges(spark, sf), seeds, 2).select("source", "id")
 
 
 def dependents_closure(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,9 +96,9 @@ def dependents_closure(spark: SparkSession, sf: str) -> DataFrame:
     return graph.reach(b.star_edges(spark, sf), seeds).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max(_BIG("hops")).alias("hops"), F.min("id").alias("least"), F.max("id").alias("most"))
 
 
-def dependencies_closure(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
+def dependencies_closure(spark: SparkSession, sf: str) -> DataFrame:
     seeds = b.star_nodes(spark, sf).where("kind = 'order'").select("id")
-    return graph.reach(b.star_edges(spark, sf, items=items), seeds, "dependencies").select("source", "id")
+    return graph.reach(b.star_edges(spark, sf), seeds, "dependencies").select("source", "id")
 
 
 def dependents_cycle(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +108,7 @@ def dependents_cycle(spark: SparkSession, sf: str) -> DataFrame:
 
 def subgraph(spark: SparkSession, sf: str) -> DataFrame:
     center = spark.createDataFrame([("nation:3",)], "id string")
-    return graph.subgraph(b.star_edges(spark, sf, items=False), center, 1).select("kind", "from_id", "to_id")
+    return graph.subgraph(b.star_edges(spark, sf), center, 1).select("kind", "from_id", "to_id")
 
 
 def simple_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,15 +120,15 @@ def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
     return graph.node_count(b.star_nodes(spark, sf).where("kind <> 'part'"), edges)
 
 
-def export_json(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
-    edges = b.star_edges(spark, sf, items=items).withColumns({"id": F.concat("from_id", F.lit(">"), "to_id"), "weight": F.lit(1.0)})
+def export_json(spark: SparkSession, sf: str) -> DataFrame:
+    edges = b.star_edges(spark, sf).withColumns({"id": F.concat("from_id", F.lit(">"), "to_id"), "weight": F.lit(1.0)})
     got = graph.json_rows(b.star_nodes(spark, sf).where("kind <> 'nation'"), edges)
     one = lambda p: F.get_json_object("json", p)
     return got.select("part", F.coalesce(one("$.id"), F.lit("")).alias("id"), one("$.kind").alias("kind"), one("$.name").alias("name"), one("$.source").alias("source"), one("$.target").alias("target"))
 
 
 def export_dot(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.dot_rows(b.star_nodes(spark, sf).where("kind IN ('region', 'nation')"), b.star_edges(spark, sf, items=False).where("from_id LIKE 'nation:%'"))
+    return graph.dot_rows(b.star_nodes(spark, sf).where("kind IN ('region', 'nation')"), b.star_edges(spark, sf).where("from_id LIKE 'nation:%'"))
 
 
 def remove_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,14 +138,12 @@ def remove_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_packet(spark: SparkSession, sf: str) -> DataFrame:
-    """Callers, callees and estimated tokens of every customer."""
-    nodes, edges = b.star_nodes(spark, sf), b.star_edges(spark, sf, items=False).withColumn("kind", F.lit("calls"))
-    up = graph.callers(edges, nodes).select("id", F.col("caller").alias("other"), F.lit(1).alias("up"))
-    down = graph.callees(edges, nodes).select("id", F.col("callee").alias("other"), F.lit(0).alias("up"))
-    n = up.unionByName(down).groupBy("id").agg(F.count_distinct("other").alias("n"), F.count_if(F.expr("up = 1")).alias("n_callers"), F.count_if(F.expr("up = 0")).alias("n_callees"))
-    some = nodes.where("kind = 'customer'").join(n, "id", "left")
-    z = lambda c: F.coalesce(c, F.lit(0))
-    return some.select("id", z("n_callers").alias("n_callers"), z("n_callees").alias("n_callees"), (queries.BASE_TOKENS + queries.TOKENS_EACH * (1 + z("n"))).cast("bigint").alias("tokens"))
+    """Callers, callees, related types and variables, and estimated tokens of every customer; all edges are calls."""
+    files, symbols = b.star_symbols(spark, sf)
+    edges = b.star_edges(spark, sf).withColumn("kind", F.lit("calls"))
+    got = queries.contexts(files, symbols, edges, symbols.where(F.col("id").startswith("customer:")).select("id"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("callers", "callees", "types", "variables")]
+    return got.select("id", *lists, "n_callers", "n_callees", F.col("estimated_tokens").alias("tokens"))
 
 
 def _part_symbols(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -168,9 +168,11 @@ def file_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def module_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every brand, and of a test file without symbols for the odd ones."""
     files, symbols = _part_symbols(spark, sf)
-    got = queries.module_summary(files, symbols)
-    return got.select("path", "purpose", F.size("public_api").cast("bigint").alias("n_public"), F.size("dependencies").cast("bigint").alias("n_dependencies"), (F.col("complexity") > 0).alias("complex"), F.array_join("key_classes", "|").alias("key_classes"), F.coalesce("test_file", F.lit("")).alias("test_file"))
+    tests = files.where(F.col("id").rlike("[13579]$")).select(F.concat(F.lit("test of "), "id").alias("id"), F.concat(F.lit("tests/test_"), F.lower("id"), F.lit(".py")).alias("path"), "language", "line_count")
+    got = queries.module_summary(files.unionByName(tests), symbols)
+    return got.select("path", "purpose", F.size("public_api").cast("bigint").alias("n_public"), F.size("dependencies").cast("bigint").alias("n_dependencies"), "complexity", F.array_join("key_classes", "|").alias("key_classes"), F.coalesce("test_file", F.lit("")).alias("test_file"))
 
 
 def internal_external_deps(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,19 +181,30 @@ def internal_external_deps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dependents_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations as files with customers and suppliers as symbols: files that depend on each region."""
-    nodes = b.star_nodes(spark, sf)
-    ids = graph.reach(b.star_edges(spark, sf, items=False), nodes.where("kind = 'region'").select("id"))
-    return ids.join(nodes.where("kind IN ('customer', 'supplier')"), "id").select("source", "file_id").distinct()
+    """For every file of the star graph, the other files that depend on one of its symbols."""
+    files, symbols = b.star_symbols(spark, sf)
+    return queries.dependents_of(files, symbols, b.star_edges(spark, sf), files)
 
 
 def data_flow(spark: SparkSession, sf: str) -> DataFrame:
-    """The first callers and callees, up to 20 each, of every nation."""
-    nodes, edges = b.star_nodes(spark, sf), b.star_edges(spark, sf, items=False).withColumn("kind", F.lit("calls"))
-    up = graph.callers(edges, nodes).select("id", F.col("caller").alias("other"), F.lit("source").alias("role"))
-    down = graph.callees(edges, nodes).select("id", F.col("callee").alias("other"), F.lit("sink").alias("role"))
-    both = up.unionByName(down).where(F.col("id").startswith("nation:"))
-    return graph.top_per(both, ["id", "role"], ["other"], queries.CALLERS)
+    """The first callers and callees, up to 20 each, of every nation, part and supplier; all edges are calls."""
+    _, symbols = b.star_symbols(spark, sf)
+    seeds = symbols.where(F.split("id", ":")[0].isin("nation", "part", "supplier")).select("id")
+    got = queries.flows(symbols, b.star_edges(spark, sf).withColumn("kind", F.lit("calls")), seeds)
+    return got.select("id", "role", "other", "name", _BIG("pos").alias("pos"), "on_path")
+
+
+def named_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Callers and callees of symbols asked for by path and name, one of them missing."""
+    files, symbols = b.star_symbols(spark, sf)
+    edges = b.star_edges(spark, sf).withColumn("kind", F.lit("calls"))
+    at = [("src/root", "AFRICA"), ("src/root", "EUROPE"), ("src/root", "NOWHERE")]
+    rows = None
+    for path, name in at:
+        for role, ask in (("caller", queries.callers_of), ("callee", queries.callees_of)):
+            part = ask(files, symbols, edges, path, name).select(F.lit(name).alias("asked"), F.lit(role).alias("role"), "id", "name")
+            rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 def symbol_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,15 +291,15 @@ _EVENT_KIND = "CASE event_type WHEN 'view' THEN 'READ' WHEN 'click' THEN 'READ'
 
 def _journal(spark: SparkSession, sf: str) -> DataFrame:
     e = b.read(spark, sf, "events")
-    return e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.expr(_EVENT_KIND).alias("event_type"), F.concat(F.lit("f"), F.expr("event_id % 5").cast("string")).alias("file_path"), F.lit("s").alias("symbol_name"), F.when(F.expr("event_id % 2 = 0"), F.lit("old")).alias("content_before"), (_micros("ts") / 1e6).alias("created_at"), F.col("event_id").alias("seq")).where("event_type IS NOT NULL")
+    return e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.expr(_EVENT_KIND).alias("event_type"), F.concat(F.lit("f"), F.expr("event_id % 5").cast("string")).alias("file_path"), F.expr("CASE event_id % 3 WHEN 0 THEN 's' WHEN 1 THEN '' END").alias("symbol_name"), F.when(F.expr("event_id % 2 = 0"), F.lit("old")).alias("content_before"), (_micros("ts") / 1e6).alias("created_at"), F.col("event_id").alias("seq")).where("event_type IS NOT NULL")
 
 
 def session_context(spark: SparkSession, sf: str) -> DataFrame:
     got = journal_context(_journal(spark, sf))
-    return got.select("session_id", "n_reads", "n_writes", "n_undos", F.array_join("files_read", ",").alias("files_read"), F.array_join("files_written", ",").alias("files_written"), "summary")
+    return got.select("session_id", "total_events", "n_reads", "n_writes", "n_undos", F.array_join("files_read", ",").alias("files_read"), F.array_join("files_written", ",").alias("files_written"), "summary")
 
 
-_JOURNAL_SQL = f"""journal AS (SELECT * FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, {_EVENT_KIND} AS event_type, 'f' || (event_id % 5) AS file_path, ts, event_id % 2 = 0 AS has_before FROM events) WHERE event_type IS NOT NULL)"""
+_JOURNAL_SQL = f"""journal AS (SELECT * FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, {_EVENT_KIND} AS event_type, 'f' || (event_id % 5) AS file_path, CASE WHEN event_id % 3 = 0 THEN '::s' ELSE '' END AS symbol, ts, event_id % 2 = 0 AS has_before FROM events) WHERE event_type IS NOT NULL)"""
 
 
 def undo_candidates_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,80 +339,179 @@ def link_refs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unresolved_semi(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers that no order uses (an anti join), by nation."""
-    used = b.star_edges(spark, sf).where("kind = 'calls'").select("to_id").distinct()
-    return b.star_nodes(spark, sf).where("kind = 'supplier'").join(used, F.col("id") == F.col("to_id"), "left_anti").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-
+    """Nodes that nothing calls (an anti join), by kind and file: customers without an order among them."""
+    return graph.unreferenced(b.star_nodes(spark, sf), b.star_edges(spark, sf), "calls").groupBy("kind", "file_id").agg(F.count(F.lit(1)).alias("n"))
 
-def parsed_code(spark: SparkSession, sf: str) -> DataFrame:
-    """Small sources of each language through parsing and resolution."""
-    from ..operators.parse import parse_files, symbols_of
-    from .samples import SOURCES
 
+def parsed_code(spark: SparkSession, sf: str, suffixes: tuple[str, ...] = ("",)) -> DataFrame:
+    """Small sources of each language through parsing."""
     files = spark.createDataFrame(sorted(SOURCES.items()), "path string, content string").withColumn("last_modified", F.lit(0.0))
-    return symbols_of(parse_files(files)).select("path", "name", "kind", "line_start", "line_end", "signature", "is_public", "is_async", "complexity_score", "ordinal")
+    of = F.lit(False)
+    for x in suffixes:
+        of = of | F.col("path").endswith(x)
+    return parse.symbols_of(parse.parse_files(files.where(of))).select("path", "name", "kind", "line_start", "line_end", "signature", "is_public", "is_async", "complexity_score", "extra", "ordinal")
+
+
+def parse_python(spark: SparkSession, sf: str) -> DataFrame:
+    return parsed_code(spark, sf, (".py",))
+
+
+def parse_js(spark: SparkSession, sf: str) -> DataFrame:
+    return parsed_code(spark, sf, (".ts", ".js"))
+
+
+def parse_go(spark: SparkSession, sf: str) -> DataFrame:
+    return parsed_code(spark, sf, (".go", ".md"))
+
+
+def _parsed_sql(suffixes: tuple[str, ...]) -> str:
+    def cell(x) -> str:
+        return "NULL" if x is None else _sql_text(x) if isinstance(x, str) else str(x)
+
+    rows, places = [], {}
+    for r in EXPECTED:
+        if r[0].endswith(suffixes):
+            places[r[0]] = places.get(r[0], -1) + 1
+            rows.append(f"({', '.join(map(cell, (*r, places[r[0]])))})")
+    return f"SELECT * REPLACE (CAST(complexity_score AS DOUBLE) AS complexity_score, CAST(extra AS VARCHAR) AS extra) FROM (VALUES {', '.join(rows)}) AS t(path, name, kind, line_start, line_end, signature, is_public, is_async, complexity_score, extra, ordinal)"
+
+
+def symbol_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by path and id, symbols by file, id, name and kind, and one that is missing."""
+    files, symbols = _part_symbols(spark, sf)
+    asked = {
+        "file_by_path": lookups.file_by_path(files, "src/brand#2.py").select("id", F.col("path").alias("name")), "file_by_id": lookups.file_by_id(files, "Brand#3").select("id", F.col("path").alias("name")),
+        "symbols_for_file": lookups.symbols_for_file(symbols, "Brand#4").select("id", "name"), "symbol_by_id": lookups.symbol_by_id(symbols, "s7").select("id", "name"),
+        "by_name": lookups.find_symbols(symbols, "small ring").select("id", "name"), "by_kind": lookups.find_symbols(symbols, "small ring", "class").select("id", "name"),
+        "in_file": lookups.find_symbol(files, symbols, "src/brand#5.py", "small ring").select("id", "name"), "missing": lookups.symbol_by_id(symbols, "none").select("id", "name"),
+    }
+    out = None
+    for what, found in asked.items():
+        part = found.select(F.lit(what).alias("what"), "id", "name")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _fresh_store(spark: SparkSession, name: str) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def store_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored symbols after two upserts and the removal of one file: every third part has a new name, every second is new."""
+    store, (files, symbols) = _fresh_store(spark, "store-rows"), _part_symbols(spark, sf)
+    store.upsert("files", files)
+    store.upsert("symbols", symbols.where("ordinal % 2 = 0"))
+    changed = symbols.where("ordinal % 3 = 0 OR ordinal % 2 = 1").withColumn("name", F.when(F.expr("ordinal % 3 = 0"), F.concat(F.lit("new "), "name")).otherwise(F.col("name")))
+    store.upsert("symbols", changed.unionByName(changed.withColumns({"name": F.lit("older"), "ordinal": F.lit(None).cast("int")})))
+    store.delete_symbols_for_file("Brand#4")
+    store.delete_file("Brand#4")
+    return store.read("symbols").join(store.read("files").select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "name", "kind", "path", "ordinal")
+
+
+def update_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored files after an index and an update of documents: every seventh is gone, every fifth changed, every eleventh new."""
+    store = _fresh_store(spark, "update-rows")
+    d = b.document_files(spark, sf).select(F.col("file_path").alias("path"), "content", F.lit(0.0).alias("last_modified"), "doc_id")
+    incremental.index(store, d.where("doc_id % 11 <> 0").drop("doc_id"))
+    new = d.where("doc_id % 7 <> 0").withColumn("content", F.when(F.expr("doc_id % 5 = 0"), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    incremental.update(store, new.drop("doc_id"), d.where("doc_id % 7 = 0").select("path"))
+    return store.read("files").select("path", "checksum", "size_bytes", _BIG("line_count").alias("line_count"))
+
+
+def write_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """What writing a probe line to each document would add; every second document is a new file."""
+    d = b.document_files(spark, sf)
+    found = scan.check_writes(_probed(spark, sf).select("file_path", F.col("content").alias("after")), d.where("doc_id % 2 = 0"))
+    return found.select("file_path", _BIG("line_number").alias("line_number"), "severity", "description")
+
+
+def cve_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The status of three sets of packages."""
+    adv = spark.createDataFrame(_ADVISORIES, "package string, cve_id string, severity string")
+    found = cve.check(cve.requirements(spark.createDataFrame([(_REQUIREMENTS + "\t# one more comment\n Jinja2\t>=3\n",)], "text string")), adv)
+    out = None
+    for what, rows in (("all", found), ("without pyyaml", found.where("package <> 'pyyaml'")), ("clean", found.where("severity = 'PASS'"))):
+        part = cve.status(rows).crossJoin(rows.agg(F.count(F.lit(1)).alias("packages"))).crossJoin(cve.vulnerable(rows).agg(F.count(F.lit(1)).alias("vulnerable"))).select(F.lit(what).alias("what"), "status", "packages", "vulnerable")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def index_totals(spark: SparkSession, sf: str) -> DataFrame:
+    files, symbols = _part_symbols(spark, sf)
+    return queries.index_totals(queries.stats(files.withColumn("indexed_at", F.lit(0.0)), symbols, b.star_edges(spark, sf)))
 
 
 QUERIES = {
     "impact_severity": impact_severity, "graph_stats": graph_stats, "index_stats": index_stats, "callers": callers, "callees": callees, "edges_from_kind": edges_from_kind, "neighbors_k2": neighbors_k2,
     "dependents_closure": dependents_closure, "dependencies_closure": dependencies_closure, "dependents_cycle": dependents_cycle, "subgraph": subgraph, "simple_paths": simple_paths, "graph_counts": graph_counts,
     "export_json": export_json, "export_dot": export_dot, "remove_nodes": remove_nodes, "context_packet": context_packet, "file_map": file_map, "module_summary": module_summary, "internal_external_deps": internal_external_deps,
-    "dependents_files": dependents_files, "data_flow": data_flow, "symbol_search": symbol_search, "symbol_pick": symbol_pick, "resolve_refs": resolve_refs, "file_records": file_records, "edge_ids": edge_ids,
+    "dependents_files": dependents_files, "data_flow": data_flow, "named_links": named_links, "symbol_search": symbol_search, "symbol_pick": symbol_pick, "resolve_refs": resolve_refs, "file_records": file_records, "edge_ids": edge_ids,
     "scan_findings": scan_findings, "scan_status": scan_status, "scan_diff": scan_diff, "secrets_only": secrets_only, "incremental_diff": incremental_diff, "session_context": session_context, "undo_candidates": undo_candidates_q,
-    "debounce": debounce, "requirements_cve": requirements_cve, "vector_topk": vector_topk, "link_refs": link_refs, "unresolved_semi": unresolved_semi, "parsed_code": parsed_code,
+    "debounce": debounce, "requirements_cve": requirements_cve, "vector_topk": vector_topk, "link_refs": link_refs, "unresolved_semi": unresolved_semi,
+    "parse_python": parse_python, "parse_js": parse_js, "parse_go": parse_go, "symbol_lookups": symbol_lookups, "store_rows": store_rows, "update_rows": update_rows, "write_gate": write_gate, "cve_status": cve_status, "index_totals": index_totals,
 }
-#: The same over the whole star graph, the edges from orders to parts and suppliers among them.
-WHOLE = (impact_severity, index_stats, neighbors_k2, dependencies_closure, export_json)
-QUERIES |= {f"{f.__name__}_whole": partial(f, items=True) for f in WHOLE}
 
 _STAR = f"WITH {b.STAR_NODES_SQL}, {b.STAR_EDGES_SQL}"
-_SMALL = f"WITH {b.STAR_NODES_SQL}, {b.STAR_SMALL_SQL}"
 ORACLE_SQL = {
     "impact_severity": _IMPACT_SQL,
     "graph_stats": f"{_STAR} SELECT 'node_' || kind AS what, count(*) AS n FROM star_nodes GROUP BY kind UNION ALL SELECT 'edge_' || kind, count(*) FROM star_edges GROUP BY kind",
-    "index_stats": f"""WITH {_PART_SQL}, {b.STAR_SMALL_SQL}, d AS (SELECT count(*) AS file_count, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM documents)
+    "index_stats": f"""WITH {_PART_SQL}, {b.STAR_EDGES_SQL}, d AS (SELECT count(*) AS file_count, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM documents)
         SELECT file_count, count(*) FILTER (WHERE kind = 'function') AS function_count, count(*) FILTER (WHERE kind = 'class') AS class_count, count(*) FILTER (WHERE kind = 'variable') AS variable_count,
-        count(*) FILTER (WHERE kind = 'import') AS import_count, (SELECT count(*) FROM star_edges) AS edge_count, languages, count(DISTINCT file_id) > 0 AS covered FROM parts, d GROUP BY file_count, languages""",
+        count(*) FILTER (WHERE kind = 'import') AS import_count, (SELECT count(*) FROM star_edges) AS edge_count, languages, round(count(DISTINCT file_id) / file_count * 100, 1) AS coverage_percent FROM parts, d GROUP BY file_count, languages""",
     "callers": f"{_STAR} SELECT to_id AS id, count(DISTINCT from_id) AS n_callers, min(from_id) AS first_caller FROM star_edges WHERE kind = 'calls' AND to_id LIKE 'part:%' AND from_id IN (SELECT id FROM star_nodes) GROUP BY to_id",
     "callees": f"{_STAR} SELECT from_id AS id, count(DISTINCT to_id) AS n_callees, max(to_id) AS last_callee FROM star_edges WHERE kind = 'calls' AND to_id IN (SELECT id FROM star_nodes) GROUP BY from_id",
     "edges_from_kind": "SELECT 'uses' AS kind, 'customer:' || c_custkey AS from_id, 'nation:' || c_nationkey AS to_id FROM customer",
-    "neighbors_k2": f"""WITH {b.STAR_SMALL_SQL}, u AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM star_edges UNION SELECT to_id, from_id FROM star_edges),
+    "neighbors_k2": f"""WITH {b.STAR_EDGES_SQL}, u AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM star_edges UNION SELECT to_id, from_id FROM star_edges),
         s AS (SELECT unnest(['nation:0', 'nation:7']) AS source), h1 AS (SELECT source, b FROM s JOIN u ON a = source), h2 AS (SELECT source, u.b FROM h1 JOIN u ON h1.b = a)
         SELECT DISTINCT source, b AS id FROM (SELECT * FROM h1 UNION SELECT * FROM h2) WHERE b <> source""",
     "dependents_closure": f"""WITH RECURSIVE {b.STAR_NODES_SQL}, {b.STAR_EDGES_SQL}, e AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM star_edges),
         walk AS (SELECT id AS source, id, 0 AS hops FROM star_nodes WHERE kind = 'region' UNION SELECT source, e.from_id, hops + 1 FROM walk JOIN e ON walk.id = e.to_id WHERE hops < 10),
         first AS (SELECT source, id, min(hops) AS hops FROM walk WHERE id <> source GROUP BY source, id)
         SELECT source, count(*) AS n, CAST(max(hops) AS BIGINT) AS hops, min(id) AS least, max(id) AS most FROM first GROUP BY source""",
-    "dependencies_closure": _CLOSURE.format(nodes=b.STAR_NODES_SQL, edges=b.STAR_SMALL_SQL, seeds="kind = 'order'", there="e.to_id", here="e.from_id") + " SELECT source, id FROM walk WHERE id <> source",
+    "dependencies_closure": _CLOSURE.format(nodes=b.STAR_NODES_SQL, edges=b.STAR_EDGES_SQL, seeds="kind = 'order'", there="e.to_id", here="e.from_id") + " SELECT source, id FROM walk WHERE id <> source",
     "dependents_cycle": f"WITH RECURSIVE {b.EVENT_EDGES_SQL}, walk AS (SELECT DISTINCT from_id AS source, from_id AS id FROM event_edges UNION SELECT source, from_id FROM walk JOIN event_edges ON id = to_id) SELECT source, id FROM walk WHERE source <> id",
-    "subgraph": f"""WITH {b.STAR_SMALL_SQL}, i AS MATERIALIZED (SELECT 'nation:3' AS id UNION SELECT from_id FROM star_edges WHERE to_id = 'nation:3' UNION SELECT to_id FROM star_edges WHERE from_id = 'nation:3')
+    "subgraph": f"""WITH {b.STAR_EDGES_SQL}, i AS MATERIALIZED (SELECT 'nation:3' AS id UNION SELECT from_id FROM star_edges WHERE to_id = 'nation:3' UNION SELECT to_id FROM star_edges WHERE from_id = 'nation:3')
         SELECT kind, from_id, to_id FROM star_edges WHERE from_id IN (SELECT id FROM i) AND to_id IN (SELECT id FROM i)""",
     "simple_paths": f"""WITH RECURSIVE {b.EVENT_EDGES_SQL}, p AS (SELECT ['signup'] AS path UNION ALL SELECT list_append(path, to_id) FROM p JOIN event_edges ON path[-1] = from_id
         WHERE NOT list_contains(path, to_id) AND path[-1] <> 'purchase' AND len(path) <= 6) SELECT array_to_string(path, '>') AS path, len(path) - 1 AS n_edges FROM p WHERE path[-1] = 'purchase' AND len(path) > 1""",
     "graph_counts": f"{_STAR} SELECT (SELECT count(*) FROM (SELECT id FROM star_nodes WHERE kind <> 'part' UNION SELECT from_id FROM star_edges UNION SELECT to_id FROM star_edges)) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT kind, from_id, to_id, line_number FROM star_edges)) AS edges",
-    "export_json": f"""{_SMALL} SELECT 'nodes' AS part, id, kind, name, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target FROM star_nodes WHERE kind <> 'nation'
+    "export_json": f"""{_STAR} SELECT 'nodes' AS part, id, kind, name, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target FROM star_nodes WHERE kind <> 'nation'
         UNION ALL SELECT 'nodes', id, 'unknown', NULL, NULL, NULL FROM (SELECT from_id AS id FROM star_edges UNION SELECT to_id FROM star_edges) WHERE id LIKE 'nation:%'
         UNION ALL SELECT 'edges', from_id || '>' || to_id, kind, NULL, from_id, to_id FROM star_edges""",
-    "export_dot": f"""{_SMALL} SELECT '  "' || id || '" [label="' || name || '"];' AS line FROM star_nodes WHERE kind IN ('region', 'nation') UNION ALL
+    "export_dot": f"""{_STAR} SELECT '  "' || id || '" [label="' || name || '" tooltip="' || kind || '"];' AS line FROM star_nodes WHERE kind IN ('region', 'nation') UNION ALL
         SELECT '  "' || from_id || '" -> "' || to_id || '" [label="' || kind || '"];' FROM star_edges WHERE from_id LIKE 'nation:%'""",
     "remove_nodes": f"""{_STAR} SELECT kind, count(*) AS n FROM star_nodes WHERE kind <> 'supplier' GROUP BY kind UNION ALL
         SELECT 'edge_' || kind, count(*) FROM star_edges WHERE from_id NOT LIKE 'supplier:%' AND to_id NOT LIKE 'supplier:%' GROUP BY kind""",
-    "context_packet": f"""{_SMALL}, x AS (SELECT to_id AS id, from_id AS other, 1 AS up FROM star_edges UNION SELECT from_id, to_id, 0 FROM star_edges),
-        n AS (SELECT id, count(DISTINCT other) AS n, count(*) FILTER (WHERE up = 1) AS n_callers, count(*) FILTER (WHERE up = 0) AS n_callees FROM x WHERE other IN (SELECT id FROM star_nodes) GROUP BY id)
-        SELECT s.id, coalesce(n_callers, 0) AS n_callers, coalesce(n_callees, 0) AS n_callees, 200 + 50 * (1 + coalesce(n, 0)) AS tokens FROM star_nodes s LEFT JOIN n ON s.id = n.id WHERE s.kind = 'customer'""",
+    "context_packet": f"""{_STAR}, {b.STAR_SYMBOLS_SQL}, e AS MATERIALIZED (SELECT DISTINCT from_id AS a, to_id AS b FROM star_edges), c AS (SELECT id FROM star_symbols WHERE id LIKE 'customer:%'),
+        u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), h1 AS (SELECT c.id AS source, u.b AS id FROM c JOIN u ON c.id = u.a),
+        w AS (SELECT id, kind FROM star_symbols WHERE kind IN ('type', 'variable')), h2 AS (SELECT source, id FROM h1 UNION SELECT source, u.b FROM h1 JOIN u ON h1.id = u.a JOIN w ON u.b = w.id),
+        x AS (SELECT c.id, e.a AS other, 'callers' AS role FROM c JOIN e ON c.id = e.b UNION SELECT c.id, e.b, 'callees' FROM c JOIN e ON c.id = e.a UNION SELECT source, h2.id, w.kind || 's' FROM h2 JOIN w ON h2.id = w.id),
+        r AS (SELECT x.*, name, row_number() OVER (PARTITION BY x.id, role ORDER BY path, ordinal, other) AS k FROM x JOIN star_symbols s ON x.other = s.id),
+        l AS (SELECT id, string_agg(name, ',' ORDER BY k) FILTER (WHERE role = 'callers' AND k <= 20) AS callers, string_agg(name, ',' ORDER BY k) FILTER (WHERE role = 'callees' AND k <= 20) AS callees,
+            string_agg(name, ',' ORDER BY k) FILTER (WHERE role = 'types' AND k <= 10) AS types, string_agg(name, ',' ORDER BY k) FILTER (WHERE role = 'variables' AND k <= 10) AS variables,
+            count(*) FILTER (WHERE role = 'callers') AS n_callers, count(*) FILTER (WHERE role = 'callees') AS n_callees, count(DISTINCT other) FILTER (WHERE role IN ('callers', 'callees')) AS n FROM r GROUP BY id)
+        SELECT c.id, coalesce(callers, '') AS callers, coalesce(callees, '') AS callees, coalesce(types, '') AS types, coalesce(variables, '') AS variables, coalesce(n_callers, 0) AS n_callers, coalesce(n_callees, 0) AS n_callees,
+            200 + 50 * (1 + coalesce(n, 0)) AS tokens FROM c LEFT JOIN l ON c.id = l.id""",
     "file_map": f"""WITH {_PART_SQL}, g AS (SELECT path, count(*) AS n, count(*) FILTER (WHERE kind = 'class') AS c, count(*) FILTER (WHERE kind = 'function') AS f FROM parts GROUP BY path)
         SELECT path, 'python' AS language, n AS symbol_count, c AS class_count, f AS function_count, split_part(path, '/', 2) || ': ' || CASE WHEN c + f = 0 THEN 'source file' ELSE
         concat_ws(', ', CASE WHEN c > 0 THEN c || CASE WHEN c = 1 THEN ' class' ELSE ' classes' END END, CASE WHEN f > 0 THEN f || CASE WHEN f = 1 THEN ' function' ELSE ' functions' END END) END AS role FROM g""",
     "module_summary": f"""WITH {_PART_SQL}, g AS (SELECT path, split_part(split_part(path, '/', 2), '.', 1) AS stem, list(name ORDER BY ordinal) FILTER (WHERE kind = 'class') AS c, list(name ORDER BY ordinal) FILTER (WHERE kind = 'function' AND is_public) AS f,
-        count(*) FILTER (WHERE is_public AND kind IN ('class', 'function')) AS n_public, count(*) FILTER (WHERE kind = 'import') AS n_dependencies, coalesce(avg(p_size) FILTER (WHERE kind = 'function' AND p_size <> 0), 0) > 0 AS complex,
+        count(*) FILTER (WHERE is_public AND kind IN ('class', 'function')) AS n_public, count(*) FILTER (WHERE kind = 'import') AS n_dependencies, round(coalesce(avg(p_size) FILTER (WHERE kind = 'function' AND p_size <> 0), 0), 2) AS complexity,
         list(name ORDER BY p_size DESC, ordinal) FILTER (WHERE kind = 'class') AS k FROM parts GROUP BY path)
-        SELECT path, 'Module ' || stem || CASE WHEN c IS NULL AND f IS NULL THEN '.' ELSE ': ' || concat_ws('; ', 'defines ' || array_to_string(c[1:3], ', '), 'provides ' || array_to_string(f[1:3], ', ')) || '.' END AS purpose,
-        n_public, n_dependencies, complex, coalesce(array_to_string(k[1:5], '|'), '') AS key_classes, '' AS test_file FROM g""",
+        SELECT path, 'Module ' || stem || CASE WHEN c IS NULL AND f IS NULL THEN ': source module.' ELSE ': ' || concat_ws('; ', 'defines ' || array_to_string(c[1:3], ', '), 'provides ' || array_to_string(f[1:3], ', ')) || '.' END AS purpose,
+        n_public, n_dependencies, complexity, coalesce(array_to_string(k[1:5], '|'), '') AS key_classes, coalesce((SELECT min('tests/test_' || o.stem || '.py') FROM g o WHERE regexp_matches(o.stem, '[13579]$') AND contains('test_' || o.stem || '.py', 'test_' || g.stem)), '') AS test_file FROM g
+        UNION ALL SELECT 'tests/test_' || stem || '.py', 'Module test_' || stem || ': source module.', 0, 0, 0.0, '', '' FROM g WHERE regexp_matches(stem, '[13579]$')""",
     "internal_external_deps": f"""WITH {_PART_SQL}, i AS (SELECT file_id, EXISTS (SELECT 1 FROM parts q WHERE q.kind <> 'import' AND q.name = p.name AND q.file_id <> p.file_id) AS internal FROM parts p WHERE kind = 'import')
         SELECT file_id, internal, count(*) AS n FROM i GROUP BY file_id, internal""",
-    "dependents_files": """SELECT DISTINCT 'region:' || n_regionkey AS source, 'file:' || k AS file_id FROM nation JOIN (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) ON k = n_nationkey""",
-    "data_flow": f"""{_SMALL}, x AS (SELECT DISTINCT to_id AS id, from_id AS other, 'source' AS role FROM star_edges UNION SELECT from_id, to_id, 'sink' FROM star_edges)
-        SELECT id, other, role FROM x WHERE id LIKE 'nation:%' QUALIFY row_number() OVER (PARTITION BY id, role ORDER BY other) <= 20""",
+    "dependents_files": f"""WITH RECURSIVE {b.STAR_NODES_SQL}, {b.STAR_EDGES_SQL}, {b.STAR_SYMBOLS_SQL}, e AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM star_edges),
+        walk AS (SELECT file_id AS source, id FROM star_symbols UNION SELECT source, e.from_id FROM walk JOIN e ON walk.id = e.to_id), f AS MATERIALIZED (SELECT DISTINCT file_id, path FROM star_symbols)
+        SELECT DISTINCT a.path, s.path AS dependent FROM walk JOIN star_symbols s ON walk.id = s.id JOIN f a ON a.file_id = walk.source WHERE s.file_id <> walk.source""",
+    "data_flow": f"""{_STAR}, {b.STAR_SYMBOLS_SQL}, x AS (SELECT DISTINCT to_id AS id, from_id AS other, 'source' AS role FROM star_edges UNION SELECT from_id, to_id, 'sink' FROM star_edges)
+        SELECT x.id, role, other, name, row_number() OVER (PARTITION BY x.id, role ORDER BY ordinal, other) AS pos, pos <= 5 AS on_path FROM x JOIN star_symbols s ON x.other = s.id
+        WHERE split_part(x.id, ':', 1) IN ('nation', 'part', 'supplier') QUALIFY pos <= 20""",
+    "named_links": f"""{_STAR}, n AS (SELECT id, name FROM star_nodes WHERE id LIKE 'region:%' AND name IN ('AFRICA', 'EUROPE'))
+        SELECT DISTINCT n.name AS asked, 'caller' AS role, s.id, s.name FROM n JOIN star_edges e ON e.to_id = n.id JOIN star_nodes s ON s.id = e.from_id UNION ALL
+        SELECT DISTINCT n.name, 'callee', s.id, s.name FROM n JOIN star_edges e ON e.from_id = n.id JOIN star_nodes s ON s.id = e.to_id""",
     "symbol_search": f"""WITH {_PART_SQL} SELECT id, name, kind, path AS file_path, substr(p_type, 1, 120) AS docstring, CAST(1.0 AS DOUBLE) AS score FROM parts WHERE name ILIKE '%a%' ORDER BY path, ordinal LIMIT 50""",
     "symbol_pick": f"""WITH {_PART_SQL}, q AS (SELECT file_id, split_part(name, ' ', 1) AS name, id, kind, ordinal FROM parts)
         SELECT file_id, name, id, kind FROM q QUALIFY row_number() OVER (PARTITION BY file_id, name ORDER BY (kind IN ('function', 'class')) DESC, ordinal) = 1""",
@@ -418,9 +530,10 @@ ORACLE_SQL = {
         SELECT description, 'BLOCK' AS severity, count(*) AS n, count(DISTINCT file_path) AS files FROM h GROUP BY description""",
     "incremental_diff": """WITH o AS (SELECT source || '/' || doc_id AS path, sha256(text) AS c FROM documents WHERE doc_id % 11 <> 0), n AS (SELECT source || '/' || doc_id AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS c FROM documents WHERE doc_id % 7 <> 0)
         SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.c IS NULL THEN 'removed' WHEN o.c IS NULL THEN 'added' WHEN o.c = n.c THEN 'skipped' ELSE 'modified' END AS change FROM o FULL JOIN n ON o.path = n.path""",
-    "session_context": f"""WITH {_JOURNAL_SQL}, g AS (SELECT session_id, count(*) FILTER (WHERE event_type = 'READ') AS n_reads, count(*) FILTER (WHERE event_type = 'WRITE') AS n_writes, count(*) FILTER (WHERE event_type = 'UNDO') AS n_undos,
-        coalesce(string_agg(file_path || '::s', ',' ORDER BY ts, event_id) FILTER (WHERE event_type = 'READ'), '') AS files_read, coalesce(string_agg(DISTINCT file_path, ',' ORDER BY file_path) FILTER (WHERE event_type = 'WRITE'), '') AS files_written FROM journal GROUP BY session_id)
-        SELECT *, 'Session ' || session_id || ': ' || n_reads || ' reads, ' || n_writes || ' writes, ' || n_undos || ' undos.' AS summary FROM g""",
+    "session_context": f"""WITH {_JOURNAL_SQL}, g AS (SELECT session_id, count(*) AS total_events, count(*) FILTER (WHERE event_type = 'READ') AS n_reads, count(*) FILTER (WHERE event_type = 'WRITE') AS n_writes, count(*) FILTER (WHERE event_type = 'UNDO') AS n_undos,
+        coalesce(string_agg(file_path || symbol, ',' ORDER BY ts, event_id) FILTER (WHERE event_type = 'READ'), '') AS files_read, coalesce(string_agg(DISTINCT file_path, ',' ORDER BY file_path) FILTER (WHERE event_type = 'WRITE'), '') AS files_written,
+        count(DISTINCT file_path) FILTER (WHERE event_type = 'READ') AS r, count(DISTINCT file_path) FILTER (WHERE event_type = 'WRITE') AS w FROM journal GROUP BY session_id)
+        SELECT * EXCLUDE (r, w), 'Session ' || chr(39) || session_id || chr(39) || ': ' || n_reads || ' read(s) across ' || r || ' file(s), ' || n_writes || ' write(s) to ' || w || ' file(s), ' || n_undos || ' undo(s).' AS summary FROM g""",
     "undo_candidates": f"""WITH {_JOURNAL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS step FROM journal WHERE event_type = 'WRITE')
         SELECT session_id, event_id, file_path, CAST(step AS INTEGER) AS step, has_before AS restores FROM r WHERE step <= 3""",
     "debounce": """WITH e AS (SELECT 'f' || (user_id % 20) AS path, ts, event_type AS change, event_id FROM events), m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS starts FROM e WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
@@ -430,6 +543,21 @@ ORACLE_SQL = {
     "vector_topk": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT q.id AS query, v.id, 1 - list_inner_product(v.e, q.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(q.e, q.e))) AS x FROM v q, v WHERE q.id % 50 = 0)
         SELECT query, id, round(x, 5) + 0.0 AS distance, row_number() OVER (PARTITION BY query ORDER BY x, id) AS rank FROM d QUALIFY rank <= 10""",
     "link_refs": """WITH r AS (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS ref_name FROM pages) SELECT ref_name, count(*) AS n, ref_name IN (SELECT url FROM pages) AS known FROM r GROUP BY ref_name""",
-    "unresolved_semi": "SELECT 'file:' || s_nationkey AS file_id, count(*) AS n FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem) GROUP BY s_nationkey",
+    "unresolved_semi": f"{_STAR} SELECT kind, file_id, count(*) AS n FROM star_nodes WHERE id NOT IN (SELECT to_id FROM star_edges WHERE kind = 'calls') GROUP BY kind, file_id",
+    "parse_python": _parsed_sql((".py",)),
+    "parse_js": _parsed_sql((".ts", ".js")),
+    "parse_go": _parsed_sql((".go", ".md")),
+    "symbol_lookups": f"""WITH {_PART_SQL}, f AS (SELECT DISTINCT file_id AS id, path AS name FROM parts) SELECT 'file_by_path' AS what, id, name FROM f WHERE name = 'src/brand#2.py' UNION ALL SELECT 'file_by_id', id, name FROM f WHERE id = 'Brand#3'
+        UNION ALL SELECT 'symbols_for_file', id, name FROM parts WHERE file_id = 'Brand#4' UNION ALL SELECT 'symbol_by_id', id, name FROM parts WHERE id = 's7' UNION ALL SELECT 'by_name', id, name FROM parts WHERE name = 'small ring'
+        UNION ALL SELECT 'by_kind', id, name FROM parts WHERE name = 'small ring' AND kind = 'class'
+        UNION ALL (SELECT 'in_file', id, name FROM parts WHERE name = 'small ring' AND path = 'src/brand#5.py' ORDER BY (kind IN ('function', 'class')) DESC, ordinal LIMIT 1)""",
+    "store_rows": f"""WITH {_PART_SQL} SELECT id, CASE WHEN ordinal % 3 = 0 THEN 'new ' || name ELSE name END AS name, kind, path, CAST(ordinal AS INTEGER) AS ordinal FROM parts WHERE file_id <> 'Brand#4'""",
+    "update_rows": """WITH d AS (SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS t FROM documents WHERE doc_id % 7 <> 0)
+        SELECT path, sha256(t) AS checksum, CAST(strlen(t) AS BIGINT) AS size_bytes, length(t) - length(replace(t, chr(10), '')) + 1 AS line_count FROM d""",
+    "write_gate": f"""WITH {_PROBED_SQL}, b AS (SELECT source || '/' || doc_id AS file_path, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 2 = 0),
+        o AS (SELECT file_path, line, unnest(list_filter([{', '.join(f'CASE WHEN regexp_matches(line, {_sql_text(_re2(r.pattern))}) THEN {k} END' for k, r in enumerate(RULES))}], lambda x: x IS NOT NULL)) AS rule FROM b),
+        old AS (SELECT DISTINCT file_path, trim(line) AS line, description FROM o JOIN rules USING (rule))
+        SELECT f.file_path, line_number, f.severity, f.description FROM findings f WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.file_path = f.file_path AND old.description = f.description AND old.line = trim(f.line))""",
+    "cve_status": "SELECT * FROM (VALUES ('all', 'BLOCK', 5, 3), ('without pyyaml', 'WARN', 4, 2), ('clean', 'PASS', 2, 0)) AS t(what, status, packages, vulnerable)",
+    "index_totals": f"WITH {_PART_SQL}, {b.STAR_EDGES_SQL} SELECT count(DISTINCT file_id) AS file_count, count(*) FILTER (WHERE kind <> 'type') AS symbol_count, (SELECT count(*) FROM star_edges) AS edge_count FROM parts",
 }
-ORACLE_SQL |= {f"{f.__name__}_whole": ORACLE_SQL[f.__name__].replace(b.STAR_SMALL_SQL, b.STAR_EDGES_SQL) for f in WHOLE}

@@ -16,16 +16,20 @@ from ..sources.store import Store
 from .incremental import update
 
 
+# Fixed value: the sentence that sums up a session.
+SENTENCE = "Session '{}': {} read(s) across {} file(s), {} write(s) to {} file(s), {} undo(s)."
+
+
 def journal_context(events: DataFrame) -> DataFrame:
-    """One row for each session: counts, what was read (path::symbol in order, repeats kept), the distinct files written, a sentence."""
+    """One row for each session: counts, what was read (path::symbol, or the path where no symbol is named, in order, repeats kept), the distinct files written, a sentence."""
     kind = lambda k: F.col("event_type") == k
-    read = F.concat(F.col("file_path"), F.lit("::"), F.coalesce("symbol_name", F.lit("")))
+    read = F.when(F.coalesce("symbol_name", F.lit("")) == "", F.col("file_path")).otherwise(F.concat("file_path", F.lit("::"), "symbol_name"))
     got = events.groupBy("session_id").agg(
-        F.count_if(kind("READ")).alias("n_reads"), F.count_if(kind("WRITE")).alias("n_writes"), F.count_if(kind("UNDO")).alias("n_undos"),
-        F.array_sort(F.collect_list(F.when(kind("READ"), F.struct("created_at", "seq", read.alias("what"))))).alias("r"), F.array_sort(F.collect_set(F.when(kind("WRITE"), F.col("file_path")))).alias("files_written"),
+        F.count(F.lit(1)).alias("total_events"), F.count_if(kind("READ")).alias("n_reads"), F.count_if(kind("WRITE")).alias("n_writes"), F.count_if(kind("UNDO")).alias("n_undos"),
+        F.array_sort(F.collect_list(F.when(kind("READ"), F.struct("created_at", "seq", read.alias("what"))))).alias("r"), F.count_distinct(F.when(kind("READ"), F.col("file_path"))).alias("k"), F.array_sort(F.collect_set(F.when(kind("WRITE"), F.col("file_path")))).alias("files_written"),
     )
-    said = F.format_string("Session %s: %d reads, %d writes, %d undos.", "session_id", "n_reads", "n_writes", "n_undos")
-    return got.select("session_id", "n_reads", "n_writes", "n_undos", F.transform("r", lambda x: x["what"]).alias("files_read"), "files_written", said.alias("summary"))
+    said = F.format_string(SENTENCE.replace("{}", "%s"), "session_id", "n_reads", "k", "n_writes", F.size("files_written"), "n_undos")
+    return got.select("session_id", "total_events", "n_reads", "n_writes", "n_undos", F.transform("r", lambda x: x["what"]).alias("files_read"), "files_written", said.alias("summary"))
 
 
 def undo_candidates(events: DataFrame, steps: int = 1) -> DataFrame:
@@ -61,12 +65,12 @@ class Sessions:
         found = [r.asDict() for r in scan.scan_diff(change).select("line_number", "severity", "description", "fix_suggestion", "detector").orderBy("line_number", "rule").collect()]
         worst = {r["severity"] for r in found}
         status = "BLOCK" if "BLOCK" in worst else "WARN" if "WARN" in worst else "PASS"
-        report = {"status": status, "issues": found}
+        report = {"status": status, "file": path, "issues": found}
         self._append(session, "WRITE", path, None, before, after, json.dumps(report))
         changed = {"nodes_added": 0, "nodes_removed": 0, "edges_updated": 0}
         if status != "BLOCK":
             changed = self._write(path, after)
-        return {"security_report": report, "graph_update": changed}
+        return {**report, "graph_update": changed}
 
     def _write(self, path: str, text: str) -> dict:
         at = os.path.join(self.root, path)
@@ -79,7 +83,7 @@ class Sessions:
 
     def context(self, session: str) -> dict:
         got = journal_context(self.store.read("events").where(F.col("session_id") == session)).first()
-        return got.asDict(recursive=True) if got else {"session_id": session, "n_reads": 0, "n_writes": 0, "n_undos": 0, "files_read": [], "files_written": [], "summary": f"Session {session}: 0 reads, 0 writes, 0 undos."}
+        return got.asDict(recursive=True) if got else {"session_id": session, "total_events": 0, "n_reads": 0, "n_writes": 0, "n_undos": 0, "files_read": [], "files_written": [], "summary": SENTENCE.format(session, 0, 0, 0, 0, 0)}
 
     def undo(self, session: str, steps: int = 1) -> list[str]:
         """Restore the old texts of the newest writes; a write isn't marked by that, so another undo meets it again."""
