@@ -3,6 +3,8 @@
 import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from lodegraph.functions import columns as C
 from lodegraph.operators import cve, scan
@@ -25,6 +27,13 @@ def test_findings_are_what_python_finds(spark):
     assert {j for *_, j in found} == set(range(len(RULES)))
 
 
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from([*PROBES, *(w for r in RULES for w in r.needs), "=", " ", "(", ")", "'", '"', "x", "PASSWORD", "\u017fecret", ":", "True", "shell", "f", "import", "return", "\n", "except", "pass"]), max_size=6).map("".join), min_size=1, max_size=12))
+def test_pieces_lose_no_finding(spark, texts):
+    full = {(r["file_path"], r["line_number"], r["rule"]) for r in scan.scan(frame(spark, texts), tuple(r._replace(needs=()) for r in RULES)).collect()}
+    assert {(r["file_path"], r["line_number"], r["rule"]) for r in scan.scan(frame(spark, texts)).collect()} == full
+
+
 def test_splitlines_as_in_python(spark):
     rows = frame(spark, MORE).select("content", C.splitlines(F.col("content")).alias("x")).collect()
     assert [r["x"] for r in rows] == [r["content"].splitlines() for r in rows]
