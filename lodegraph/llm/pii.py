@@ -38,6 +38,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+_WORD, _MARKED, _HEX = r"^\p{Lu}?\p{Ll}+$", r"[.,;:!?]$", r"^[a-fA-F]{13,}$"
 #: Distances from a token to those whose features speak of it.
 AROUND = (-3, -2, -1, 0, 1, 2, 3)
 #: Tokens whose scores are held at once (a longer line is one block), and rows that a worker reads at once.
@@ -67,6 +68,8 @@ LABELLED = (
 VARIANTS = 9
 _CUES = frozenset("token password passwd pwd passphrase secret key keys id access api aws github openai bearer authorization client ghp gho glpat pat sk pk proj live test xoxb mail email call phone tel telephone fax reach contact card visa pay ip host version license page section chapter isbn order rfc commit uuid akia ssn number is".split())
 
+_CUE_ARRAY = pa.array(sorted(_CUES), pa.large_string())
+
 
 def _fill(sentence: str, rng: np.random.Generator) -> str:
     def digits(n: int) -> str:
@@ -159,6 +162,8 @@ class Tagger:
         self.sets: dict[tuple[str, ...], int] = {}
         self.rows = np.zeros((len(AROUND), 1024, self.crf.emission.shape[1]), np.float32)
         self._row(("edge",))
+        #: Rows of plain words by length, of small letters and with a capital first.
+        self.plain = np.array([[0, *(self._row(_token_features(x + "g" * (n - 1))) for n in range(1, 64))] for x in "gG"])
         self._forget()
 
     def _forget(self) -> None:
@@ -198,18 +203,49 @@ class Tagger:
             self.pieces[piece] = found
         return found
 
+    def _words(self, pieces: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        """How many tokens each distinct run has, and rows, starts and ends of all of them, one run after another.
+
+        All words of small letters, perhaps with a capital first and one mark last, have the same features as any other of that length,
+        but for cues and for long ones that could be hexadecimal. They are found and filled in as arrays.
+        """
+        size = pc.utf8_length(pieces).to_numpy().astype(np.int64)
+        marked = pc.match_substring_regex(pieces, _MARKED).to_numpy(zero_copy_only=False)
+        word = pc.utf8_slice_codeunits(pieces, 0, -1) if marked.all() and len(pieces) else pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+        plain = pc.match_substring_regex(word, _WORD).to_numpy(zero_copy_only=False) & ~pc.match_substring_regex(word, _HEX).to_numpy(zero_copy_only=False)
+        plain &= ~pc.is_in(pc.utf8_lower(word), value_set=_CUE_ARRAY).to_numpy(zero_copy_only=False) & (size < len(self.plain[0]))
+        title = pc.match_substring_regex(word, r"^\p{Lu}").to_numpy(zero_copy_only=False)
+        if len(self.pieces) > self.most:
+            self._forget()
+        slow = np.flatnonzero(~plain)
+        known = [self._piece(x) for x in pieces.take(pa.array(slow)).to_pylist()]
+        own = 1 + (plain & marked).astype(np.int64)
+        own[slow] = [len(x[0]) for x in known]
+        begun = np.cumsum(own) - own
+        out = [np.zeros(int(own.sum()), np.int64) for _ in range(3)]
+        length = size - marked
+        at = begun[plain]
+        out[0][at], out[2][at] = self.plain[title[plain].astype(int), length[plain]], length[plain]
+        both = np.flatnonzero(plain & marked)
+        if len(both):
+            at = begun[both] + 1
+            marks = pc.utf8_slice_codeunits(pieces.take(pa.array(both)), -1).dictionary_encode()
+            out[0][at] = np.array([self._number(x) for x in marks.dictionary.to_pylist()], np.int64)[marks.indices.to_numpy()]
+            out[1][at], out[2][at] = length[both], size[both]
+        n = own[slow]
+        at = np.repeat(begun[slow] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        for k in range(3):
+            out[k][at] = np.fromiter(itertools.chain.from_iterable(x[k] for x in known), np.int64, int(n.sum()))
+        return own, out
+
     def tag(self, texts: pa.Array) -> list[list[tuple[int, int, str]]]:
         """Spans of each text. Its lines are the sequences; runs without spaces are cut into tokens once."""
         lines = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
         split = pc.split_pattern(lines.flatten(), " ")
         words = split.flatten()
         coded = words.dictionary_encode()
-        if len(self.pieces) > self.most:
-            self._forget()
-        known = [self._piece(x) for x in coded.dictionary.to_pylist()]
-        own = np.array([len(x[0]) for x in known], np.int64)
+        own, tokens = self._words(coded.dictionary)
         begun = np.cumsum(own) - own
-        tokens = [np.fromiter(itertools.chain.from_iterable(x[k] for x in known), np.int64) for k in range(3)]
         code = coded.indices.to_numpy().astype(np.int64)
         width = pc.utf8_length(words).to_numpy().astype(np.int64) + 1
         word_at = np.cumsum(width) - width
@@ -242,16 +278,40 @@ class Tagger:
         return out
 
     def _decoded(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Viterbi labels. A path that leaves O for m places in a row gains at most (m + 1) times what a move can gain over O to O, so where O leads
-        at every place of a line by twice that, the best path is known to be all O."""
-        moves, first = self.crf.moves, self.crf.first
-        gain = max(float(moves.max() - moves[0, 0]), float(first.max() - first[0]), 0.0)
-        loose = np.zeros(len(sizes), bool)
-        loose[np.repeat(np.arange(len(sizes)), sizes)[scores[:, 0] - scores[:, 1:].max(1) <= 2 * gain + 1e-3]] = True
+        """Viterbi labels, decoded only where a label other than O is possible.
+
+        A path that leaves O for m places in a row gains by its moves at most `enter` + (m - 1) * `inside` + `leave` over O all along, and loses by
+        its scores what O leads by there. So a place that lies in no run whose lead is as small as that has label O on the best path, and the
+        stretches between such places are decoded apart, with O before and after them.
+        """
+        moves, first = self.crf.moves.astype(np.float32), self.crf.first.astype(np.float32)
+        enter = max(float(moves[0, 1:].max() - moves[0, 0]), float(first[1:].max() - first[0]))
+        inside = float(moves[1:, 1:].max() - moves[0, 0])
+        leave = max(0.0, float(moves[1:, 0].max() - moves[0, 0]))
         out = np.zeros(len(scores), np.int16)
-        if loose.any():
-            at = np.repeat(loose, sizes)
-            out[at] = self.crf.viterbi(scores[at], sizes[loose])
+        if not len(scores):
+            return out
+        lead = (scores[:, 0] - scores[:, 1:].max(1)).astype(float) - inside
+        # the least sum of a run through each place: of those that end here and of those that begin after it
+        line = np.repeat(np.arange(len(sizes)), sizes)
+        total = np.cumsum(lead)
+        before = total - lead
+        far = float(np.abs(lead).sum()) + 1.0  # sets lines so far apart that no run spans two
+        behind = total - (np.maximum.accumulate(before + far * line) - far * line)
+        ahead = np.minimum.accumulate((total + far * line)[::-1])[::-1] - far * line - total
+        free = behind + ahead <= enter + leave - inside + 1e-3
+        at = np.flatnonzero(free)
+        if not len(at):
+            return out
+        heads = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(line[at]) > 0)])
+        tails = np.append(heads[1:], True)
+        some = scores[at].astype(float)
+        starts = np.cumsum(sizes) - sizes
+        led = heads & (at > starts[line[at]])
+        some[led] += moves[0] - first
+        ended = tails & (at + 1 < (starts + sizes)[line[at]])
+        some[ended] += moves[:, 0]
+        out[at] = self.crf.viterbi(some, np.diff(np.append(np.flatnonzero(heads), len(at))))
         return out
 
     def _scores(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
