@@ -84,6 +84,16 @@ def test_lines_settled_without_viterbi_are_settled_alike(spark, sf_dir):
     assert tagger.tag(texts) == plain.tag(texts)
 
 
+def test_plain_words_have_the_rows_of_their_features(spark, sf_dir):
+    words = ["a", "A", "Ab", "abc.", "É", "été!", "Straße", "token", "Token,", "password:", "abcdefabcdefabc", "Abcdefabcdefab.", "g" * 62, "g" * 63 + ".", "ßß", "ǅungla", "İstanbul", "ªb", "x1", ".", "", "a..", "ABC", "aB", "\u0301a", "ﬁn", "a\u00a0b."]
+    pieces = pa.array(sorted({*words, *(w for _, t in documents(spark, sf_dir) for w in re.split("[ \\n]", t))}), pa.large_string())
+    tagger = pii.tagger()
+    own, (rows, starts, ends) = tagger._words(pieces)
+    want = [tagger._piece(x) for x in pieces.to_pylist()]
+    assert own.tolist() == [len(x[0]) for x in want]
+    assert [rows.tolist(), starts.tolist(), ends.tolist()] == [[v for x in want for v in x[k]] for k in range(3)]
+
+
 def test_added_spans_touch_no_base_span(spark, sf_dir):
     text = "token = a.b@c.de and +1 (555) 123-4567 or card 4111 1111 1111 1111 password=0123456789abcdef01"
     base, added = pii.find([text])[0]
