@@ -258,7 +258,9 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     filed = found.where(F.size("keys") > 0).select("a", "b", "keys").join(sets, ["a", "b"])
     filing = filed.select(F.explode("keys").alias("key"), "node")
     heads = filing.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
-    pairs = stored(filing.join(heads, "key").where("head <> node").select("head", "node").distinct(), "candidates")
+    # few keys are shared: where they are counted and few enough, the filing isn't shuffled a second time
+    heads = stored(heads, "heads")
+    pairs = stored(filing.join(sized_broadcast(heads, heads.count()), "key").where("head <> node").select("head", "node").distinct(), "candidates")
     block = connected_components(pairs.select(F.col("head").alias("u"), F.col("node").alias("v"))).select("node", F.col("component").alias("block"))
     n_nodes = block.count()
 
@@ -272,15 +274,18 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
 
     hashed = slim.join(sized_broadcast(block.select("node"), n_nodes), "node", "left_semi").mapInArrow(shingled, "node long, set binary")
     held = stored(hashed.where(F.length("set") > 0), "shingles")
-    nearest = pairs.groupBy("node").agg(F.min("head").alias("head"))
+    nearest = stored(pairs.groupBy("node").agg(F.min("head").alias("head")), "nearest")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = pa.array([similar(_set(x), _set(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
 
-    a, b = held.select(F.col("node").alias("head"), F.col("set").alias("set_u")), held.withColumnRenamed("set", "set_v")
-    compared = nearest.join(b, "node").join(a, "head").select("head", "node", "set_u", "set_v")
+    # sets of nodes that aren't compared don't travel
+    first = nearest.select("head").distinct()
+    a = held.select(F.col("node").alias("head"), F.col("set").alias("set_u")).join(sized_broadcast(first, n_nodes), "head", "left_semi")
+    b = held.withColumnRenamed("set", "set_v").join(sized_broadcast(nearest, n_nodes), "node")
+    compared = b.join(a, "head").select("head", "node", "set_u", "set_v")
     near = stored(compared.mapInArrow(verify, "u long, v long"), "near")
     joined = connected_components(near).select("node", F.col("component").alias("label"))
 
@@ -291,7 +296,8 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     small = rest.where(F.col("members") <= BLOCK)
     tasks = max(1, -(-small.count() // GROUPED))
     tile_s = small.select("node", "block", "label", F.pmod(F.xxhash64("block"), F.lit(tasks)).alias("tile"), F.lit(-1).alias("side"))
-    full = tile_s.unionByName(_large_tiles(rest.where(F.col("members") > BLOCK), percent)).join(held, "node")
+    tiles = stored(tile_s.unionByName(_large_tiles(rest.where(F.col("members") > BLOCK), percent)), "tiles")
+    full = held.join(sized_broadcast(tiles, tiles.count()), "node")
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
