@@ -13,7 +13,7 @@ How pairs are found without comparing all of them:
 3. Each candidate is first compared with the smallest document it shares a key with. Components of those links save
    comparing their members with each other.
 4. What is left in a component of candidates is cut into tiles of size-banded blocks. In a tile, hashed bitmaps bound the overlap from
-   above by counting bits; pairs that pass are settled by intersecting the sorted arrays of shingles. Tiles get those arrays, not texts.
+   above by counting bits; pairs that pass are settled by intersecting the sorted arrays of shingles. Tiles get texts, which compress better than hashes.
 
 Nulls: a null or empty text has an empty set and links with nothing. A null doc_id links with nothing and has a null component. Rows
 that share a doc_id are one document: what any of its rows links to. An empty table gives no row. Extra columns are ignored.
@@ -161,8 +161,21 @@ def _signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     return slim.mapInArrow(rows, "doc long, n long, a long, b long, keys array<long>")
 
 
-def _set(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u8")
+class _Sets:
+    """The sets of texts seen lately, by node."""
+
+    def __init__(self, k: int, most: int = 2_000_000):
+        self.k, self.most, self.held, self.total = k, most, {}, 0
+
+    def get(self, node: int, text: str) -> np.ndarray:
+        found = self.held.get((node, len(text)))
+        if found is None or found[0] != text:
+            if self.total > self.most:
+                self.held.clear()
+                self.total = 0
+            found = self.held[node, len(text)] = (text, shingle_sets(pa.array([text]), self.k)[0])
+            self.total += len(found[1])
+        return found[1]
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -264,28 +277,23 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     block = connected_components(pairs.select(F.col("head").alias("u"), F.col("node").alias("v"))).select("node", F.col("component").alias("block"))
     n_nodes = block.count()
 
-    # a node is a document, so its text is found by doc_id; from here on only its sorted shingles travel
-    slim = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, ROWS):
-            raw = [x.astype("<u8").tobytes() for x in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["node", "set"])
-
-    hashed = slim.join(sized_broadcast(block.select("node"), n_nodes), "node", "left_semi").mapInArrow(shingled, "node long, set binary")
-    held = stored(hashed.where(F.length("set") > 0), "shingles")
+    # a node is a document, so its text is found by doc_id; texts travel, since they compress far better than hashes
+    slim = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    held = stored(slim.join(sized_broadcast(block.select("node"), n_nodes), "node", "left_semi").distinct(), "texts")
     nearest = stored(pairs.groupBy("node").agg(F.min("head").alias("head")), "nearest")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Sets(k)
         for batch in batches:
-            good = pa.array([similar(_set(x), _set(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            u, v, x, y = (batch.column(j).to_pylist() for j in range(4))
+            good = pa.array([similar(seen.get(a, s), seen.get(b, t), percent) for a, b, s, t in zip(u, v, x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
 
-    # sets of nodes that aren't compared don't travel
+    # texts of nodes that aren't compared don't travel
     first = nearest.select("head").distinct()
-    a = held.select(F.col("node").alias("head"), F.col("set").alias("set_u")).join(sized_broadcast(first, n_nodes), "head", "left_semi")
-    b = held.withColumnRenamed("set", "set_v").join(sized_broadcast(nearest, n_nodes), "node")
-    compared = b.join(a, "head").select("head", "node", "set_u", "set_v")
+    a = held.select(F.col("node").alias("head"), F.col("text").alias("text_u")).join(sized_broadcast(first, n_nodes), "head", "left_semi")
+    b = held.withColumnRenamed("text", "text_v").join(sized_broadcast(nearest, n_nodes), "node")
+    compared = b.join(a, "head").select("head", "node", "text_u", "text_v")
     near = stored(compared.mapInArrow(verify, "u long, v long"), "near")
     joined = connected_components(near).select("node", F.col("component").alias("label"))
 
@@ -302,8 +310,8 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in rows.groupby("block", sort=True):
-            part = part.sort_values(["node", "set"])
-            out += tile_links(part["node"].tolist(), part["label"].tolist(), [_set(x) for x in part["set"]], part["side"].to_numpy(), percent)
+            part = part.sort_values(["node", "text"])
+            out += tile_links(part["node"].tolist(), part["label"].tolist(), shingle_sets(pa.array(part["text"], pa.large_string()), k), part["side"].to_numpy(), percent)
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     late = full.groupBy("tile").applyInPandas(settle, "u long, v long")
