@@ -48,7 +48,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = fresh_dir(spark, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables. Only for those whose readers have all been written: a lost executor can't ask for them again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of plans that nothing refers to any more: Spark does so once the driver has collected its garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -62,4 +62,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         label = stored(looked_up(label, "component", root, n, "up").select("node", F.coalesce("up", "component").alias("component")), "labels")
         moved = looked_up(looked_up(edges, "u", root, n, "pu"), "v", root, n, "pv").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
         edges = stored(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    return label if label is not None else links.select(F.col("u").alias("node"), F.col("u").alias("component")).limit(0)
+    return label if label is not None else edges.select(F.col("u").alias("node"), F.col("u").alias("component"))

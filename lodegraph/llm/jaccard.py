@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, parts, sized_broadcast, stored
+from .common import discard, free_shuffles, numbered, parts, sized_broadcast, stored
 from .components import connected_components
 
 #: Components of candidates of more nodes than this are cut into blocks; a tile holds two of them.
@@ -124,9 +124,11 @@ def filed_keys(x: np.ndarray, percent: int) -> np.ndarray:
         sums = np.zeros(parts, np.uint64)
         filled = np.flatnonzero(counts)
         sums[filled] = np.add.reduceat(mixed(x + _M1), (np.cumsum(counts) - counts)[filled])
-        at = np.flatnonzero(counts >= least)
-        label = mixed(sums[at] + mixed(at.astype(np.uint64) + np.uint64(band << 32)) * _M3)
-        out.append(label.view(np.int64))
+        label = mixed(sums + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)) * _M3)
+        # the most + 1 first by count and label: equal parts come in the same order in both sets, and at most `most` others before the first of them
+        first = label[counts > least]
+        tied = np.sort(label[counts == least])[: most + 1 - len(first)]
+        out += [first.view(np.int64), tied.view(np.int64)]
     return np.concatenate(out)
 
 
@@ -265,15 +267,19 @@ def _large_tiles(large: DataFrame, percent: int) -> DataFrame:
 
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (smallest doc_id that links reach) of every row."""
-    found = stored(_signatures(docs, k, percent, id_col, text_col), "signatures")
+    spark = docs.sparkSession
+    keyed = stored(_signatures(docs, k, percent, id_col, text_col), "signatures")
+    found = stored(keyed.select("doc", "n", "a", "b"), "sizes")
     sets = found.where(F.col("doc").isNotNull() & F.col("a").isNotNull()).groupBy("a", "b").agg(F.min("doc").alias("node"))
     sets = stored(sets, "sets")
-    filed = found.where(F.size("keys") > 0).select("a", "b", "keys").join(sets, ["a", "b"])
+    filed = keyed.where(F.size("keys") > 0).select("a", "b", "keys").join(sets, ["a", "b"])
     filing = filed.select(F.explode("keys").alias("key"), "node")
     heads = filing.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
     # few keys are shared: where they are counted and few enough, the filing isn't shuffled a second time
     heads = stored(heads, "heads")
     pairs = stored(filing.join(sized_broadcast(heads, heads.count()), "key").where("head <> node").select("head", "node").distinct(), "candidates")
+    discard(keyed, heads)
+    free_shuffles(spark)
     block = connected_components(pairs.select(F.col("head").alias("u"), F.col("node").alias("v"))).select("node", F.col("component").alias("block"))
     n_nodes = block.count()
 
@@ -321,6 +327,8 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     many = twice.groupBy("doc").count().where("count > 1").select("doc")
     own = twice.join(many, "doc").join(sets, ["a", "b"]).select(F.col("doc").alias("u"), F.col("node").alias("v"))
     final = connected_components(near.unionByName(late).unionByName(own))
+    discard(held, tiles, near, nearest, pairs, labelled, rest)
+    free_shuffles(spark)
     named = found.select("doc", "n", "a", "b").join(sets, ["a", "b"], "left")
     labels = final.select(F.col("node").alias("_node"), "component")
     start = F.when(F.col("doc").isNotNull(), F.coalesce("node", "doc"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, free_shuffles, stored
 
 MIN_SITES = 3
 MIN_WORDS = 5
@@ -83,7 +83,9 @@ def remove_shared_lines(
     """id_col, text_col without its shared lines, n_lines, n_removed, and the columns in extra as they were."""
     # written once: a few bytes for each line, read three times
     found = stored(occurrences(docs, id_col, site_col, text_col, min_sites, min_words, short_sites, long_words, long_sites), "lines")
-    gone = shared_occurrences(found, shared_lines(found))
+    gone = stored(shared_occurrences(found, shared_lines(found)), "gone-lines")
+    discard(found)
+    free_shuffles(docs.sparkSession)
     by_row = gone.groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("at").alias("_gone"))
     rows = docs.select(F.col(id_col), F.col(text_col), *(F.col(x) for x in extra))
     joined = rows.join(by_row, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_row")), "left")
