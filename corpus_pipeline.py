@@ -1,7 +1,7 @@
 """A corpus from documents to packed sequences, in five stages. Each stage's rows are written and read again for the next.
 
-toxicity: documents that score 0.5 or more go. line_dedup: lines of five words and more on three sites and more stay in their first
-document; documents that keep no text go. near_dup: one document of each group that shares word 5-shingles at a
+toxicity: documents that score 0.5 or more go. line_dedup: lines on three sites and more (ten if they have under five words; lines of fifty words
+and more in two distinct texts) stay in their first document; documents that keep no text go. near_dup: one document of each group that shares word 5-shingles at a
 similarity of 0.8 or more stays. mixing: documents are left out or repeated so that sources come near their targets.
 packing: pieces of at most 4096 tokens, with their ids, in as few sequences as can be.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm import jaccard, linededup, mixing, packing
 from lodegraph.llm import toxicity as tox
-from lodegraph.llm.common import prepare, stored
+from lodegraph.llm.common import free_shuffles, prepare, stored
 from lodegraph.llm.tokens import default_vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,12 +32,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    free_shuffles(prepare(spark))
     return jaccard.keep_one(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    free_shuffles(prepare(spark))
     mixed = mixing.mix(docs, extra=("text", "lang", "n_chars"))
     return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
