@@ -290,7 +290,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Sets(k)
-        for batch in batches:
+        for batch in parts(batches, ROWS):
             u, v, x, y = (batch.column(j).to_pylist() for j in range(4))
             good = pa.array([similar(seen.get(a, s), seen.get(b, t), percent) for a, b, s, t in zip(u, v, x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
@@ -350,10 +350,16 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     own = F.lit(_NULL_IDS) + F.pmod(F.xxhash64(text_col), F.lit(_NULL_IDS))
     marked = docs.withColumn("_node", F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("long")).when(word, own))
     found = similarity_components(marked.select("_node", text_col), k, percent, "_node", text_col)
-    gone = found.where(F.col("_node") != F.col("component_id")).select(F.col("_node").alias("_gone")).distinct()
-    left = marked.join(gone, F.col("_node") == F.col("_gone"), "left_anti")
+    gone = stored(found.where(F.col("_node") != F.col("component_id")).select(F.col("_node").alias("_gone")).distinct(), "gone")
+    repeats = marked.where(F.col("_node").isNotNull()).groupBy("_node", F.xxhash64(text_col).alias("_hash")).count().where("count > 1").select(F.col("_node").alias("_n"), F.col("_hash").alias("_h"))
+    repeats = stored(repeats, "repeats")
+    n_repeats = repeats.count()
+    # texts don't travel: both tables hold ids alone and are broadcast where counted and few enough
+    left = marked.join(sized_broadcast(gone, gone.count()), F.col("_node") == F.col("_gone"), "left_anti")
+    if not n_repeats:
+        return left.drop("_node")
     # only repeats are sorted out by their text; nulls among keys of repeats can't arise
-    repeats = left.where(F.col("_node").isNotNull()).groupBy("_node", F.xxhash64(text_col).alias("_hash")).count().where("count > 1").select(F.col("_node").alias("_n"), F.col("_hash").alias("_h"))
+    repeats = sized_broadcast(repeats, n_repeats)
     same = (F.col("_node") == F.col("_n")) & (F.xxhash64(text_col) == F.col("_h"))
     once = left.join(repeats, same, "left_semi").dropDuplicates([id_col, text_col])
     return left.join(repeats, same, "left_anti").unionByName(once).drop("_node")

@@ -319,6 +319,31 @@ def test_similar_sets_share_a_key(common, left, right, percent, seed):
         assert len(np.intersect1d(jaccard.filed_keys(x, percent), jaccard.filed_keys(y, percent)))
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+@pytest.mark.parametrize("n", [33, 64, 300, 1000])
+def test_a_set_is_filed_under_few_keys(n, percent):
+    """One key more than a partner can differ in, for each band that partners are in."""
+    x = np.unique(jaccard.mixed(np.arange(n, dtype=np.uint64)))
+    bands = n.bit_length() - (-(-n * percent // 100)).bit_length() + 1
+    small = n - -(-percent * n // 100) + 1 if n * percent <= 100 * jaccard.SMALL else 0
+    keys = jaccard.filed_keys(x, percent)
+    assert len(keys) == small + bands * (jaccard.allowed(n, percent) + 1)
+    assert len(set(keys.tolist())) == len(keys)
+
+
+def test_tables_without_readers_are_deleted(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    text = " ".join(f"w{k}" for k in range(60))
+    df = docs([(1, text, "a"), (2, text + " x", "a"), (3, text, "b"), (4, "y " + text, "c"), (5, "none of these", "a")])
+    rows = jaccard.similarity_components(df, 5, 80).collect()
+    left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+    assert sorted((r[0], r[2]) for r in rows) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)]
+    assert not left & {"signatures", "heads", "candidates", "texts", "tiles", "near", "nearest", "labelled", "open"}
+    assert len(linededup.remove_shared_lines(df).collect()) == len(rows)
+    left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+    assert "lines" not in left and "gone-lines" in left
+
+
 def test_jaccard_empty(none):
     assert jaccard.similarity_components(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
