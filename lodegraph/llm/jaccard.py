@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_shuffles, numbered, parts, sized_broadcast, stored
+from .common import discard, free_shuffles, numbered, only_memo, parts, release, sized_broadcast, stored
 from .components import connected_components
 
 #: Components of candidates of more nodes than this are cut into blocks; a tile holds two of them.
@@ -142,6 +142,7 @@ def _signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     """doc, n, a, b (two hashes of the set), keys (of the first document with this set in a batch)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_memo("jaccard", lambda: None)
         for batch in parts(batches, ROWS):
             a, b, keys, seen = [], [], [], set()
             sets = shingle_sets(batch.column(1), k)
@@ -193,10 +194,13 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """One row of 64-bit words for each set: bit h mod width is set for each shingle h. The width fits the largest set."""
     width = max(64, 1 << min(14, (2 * max(map(len, sets))).bit_length()))
-    out = np.zeros((len(sets), width), np.uint8)
+    out = np.zeros((len(sets), width // 64), np.uint64)
+    row = np.zeros(width, np.uint8)
     for k, x in enumerate(sets):
-        out[k, (x % np.uint64(width)).astype(np.int64)] = 1
-    return np.packbits(out, axis=1).view(np.uint64)
+        row[:] = 0
+        row[(x % np.uint64(width)).astype(np.int64)] = 1
+        out[k] = np.packbits(row).view(np.uint64)
+    return out
 
 
 def tile_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -289,6 +293,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     nearest = stored(pairs.groupBy("node").agg(F.min("head").alias("head")), "nearest")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_memo("jaccard", lambda: None)
         seen = _Sets(k)
         for batch in parts(batches, ROWS):
             u, v, x, y = (batch.column(j).to_pylist() for j in range(4))
@@ -314,10 +319,12 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     full = held.join(sized_broadcast(tiles, tiles.count()), "node")
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        only_memo("jaccard", lambda: None)
         out = []
         for _, part in rows.groupby("block", sort=True):
             part = part.sort_values(["node", "text"])
             out += tile_links(part["node"].tolist(), part["label"].tolist(), shingle_sets(pa.array(part["text"], pa.large_string()), k), part["side"].to_numpy(), percent)
+        release()
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     late = full.groupBy("tile").applyInPandas(settle, "u long, v long")
